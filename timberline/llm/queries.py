@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from timberline.llm import mixing
 from timberline.llm.bpe import op1_bpe
+from timberline.llm.language import op2_language
+from timberline.llm.mixing import op3_mixing
+from timberline.llm.warc import op6_warc
 
-QUERIES = {"op1_bpe": op1_bpe}
+QUERIES = {"op1_bpe": op1_bpe, "op2_language": op2_language, "op3_mixing": op3_mixing, "op6_warc": op6_warc}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
