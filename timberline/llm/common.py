@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of plans that nobody holds any more go with them
+    return kept
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def beside(docs: DataFrame, needed: tuple[str, ...], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Applies an operator to the needed columns while the others, whatever their names, pass through; returns the input's columns."""
+    other = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    out = apply(docs.select(*(F.col(f"`{c}`").alias(other.get(c, c)) for c in docs.columns)))
+    return out.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes and n + 1 offsets into them; null counts as empty."""
     column = pc.fill_null(column, "") if column.null_count else column
@@ -110,15 +122,20 @@ class Rolling:
                 with np.errstate(over="ignore"):
                     setattr(self, name, np.multiply.accumulate(p))
 
+    def terms(self, data: np.ndarray) -> np.ndarray:
+        """A random value per symbol: from a table for bytes, else (code points) by mixing."""
+        return self.values[data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64) + self.values[0])
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """n + 1 prefix sums of the buffer."""
         self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self._powers[: len(data)], out=out[1:])
+        np.cumsum(self.terms(data) * self._powers[: len(data)], out=out[1:])
         return out
 
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of buffer[start:end], the lengths mixed in."""
+        self._grow(len(prefix))
         raw = (prefix[end] - prefix[start]) * self._inverses[start]
         return mix64(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -143,9 +160,13 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(at, starts, side="right") - 1
 
 
-def hot_join_salt(key: str, n: int = 64):
-    """A salt drawn from a row's own id, so that a hot join key spreads and reruns agree."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+#: Bytes up to which a stored table is broadcast.
+SMALL_BYTES = 16 << 20
+
+
+def if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, marked for broadcast if its counted rows are under SMALL_BYTES at row_bytes each; else as it is, for a shuffled join."""
+    return F.broadcast(table) if table.count() * row_bytes <= SMALL_BYTES else table
 
 
 def components(edges: DataFrame) -> DataFrame:

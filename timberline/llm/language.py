@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import read, steps, text_buffer
+from timberline.llm.common import beside, read, steps, text_buffer
 
 #: Hashed feature buckets.
 WIDTH = 2048
@@ -190,5 +190,5 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; all columns stay as they are."""
-    found = predict_language(docs, fit_language_model(docs))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    model = fit_language_model(docs)
+    return beside(docs, ("doc_id", "text", "lang"), lambda d: predict_language(d, model).where("lang_pred <> 'und'"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.llm.common import read, stored
+from timberline.llm.common import beside, read, stored
 
 #: Classes of rank in which words are summed before the class that holds the cut is sorted.
 CLASSES = 4096
@@ -157,5 +157,5 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     sized = stored(docs.select("doc_id", "source", word_count().alias("size")), "sized")
-    mixed = mix(docs.withColumn("_n", F.lit(0)), mix_plan(sized))
-    return mixed.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    plan = mix_plan(sized)
+    return beside(docs, ("doc_id", "text", "source"), lambda d: mix(d, plan).where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))

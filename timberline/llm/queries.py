@@ -5,11 +5,23 @@ from __future__ import annotations
 from timberline.llm import mixing, quality
 from timberline.llm.bpe import op1_bpe
 from timberline.llm.language import op2_language
+from timberline.llm.lines import op9_lines
 from timberline.llm.mixing import op3_mixing
 from timberline.llm.quality import op7_quality
 from timberline.llm.secrets import op8_secrets
 from timberline.llm.warc import op6_warc
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_language": op2_language, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_secrets": op8_secrets}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
+    "op3_mixing": op3_mixing,
+    "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
+    "op8_secrets": op8_secrets,
+    "op9_lines": op9_lines,
+}
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op7_quality": quality.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE_SQL,
+    "op7_quality": quality.ORACLE_SQL,
+}
