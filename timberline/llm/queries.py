@@ -8,6 +8,7 @@ from timberline.llm.language import op2_language
 from timberline.llm.lines import op9_lines
 from timberline.llm.mixing import op3_mixing
 from timberline.llm.quality import op7_quality
+from timberline.llm.repeats import op10_repeats
 from timberline.llm.secrets import op8_secrets
 from timberline.llm.warc import op6_warc
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
     "op9_lines": op9_lines,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLES: dict[str, str] = {
