@@ -144,3 +144,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token ids: doc_id, lang, source, ids (little-endian unsigned 32-bit integers), n_tokens, and the digest of the decoded text."""
+    got = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), default_vocabulary())
+    return got.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

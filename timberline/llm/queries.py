@@ -6,6 +6,7 @@ from timberline.llm import mixing, quality
 from timberline.llm.bpe import op1_bpe
 from timberline.llm.language import op2_language
 from timberline.llm.lines import op9_lines
+from timberline.llm.minhash import op5_minhash
 from timberline.llm.mixing import op3_mixing
 from timberline.llm.quality import op7_quality
 from timberline.llm.repeats import op10_repeats
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
+    "op5_minhash": op5_minhash,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
