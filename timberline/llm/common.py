@@ -19,7 +19,19 @@ STEP_BYTES = 4 << 20
 _own_dir: dict[int, str] = {}
 
 
+#: Bytes of an Arrow batch between Spark and Python; Spark's own bound is in rows, and texts differ in size.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, unless the session already does so more tightly. Batches then stay small however long the texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

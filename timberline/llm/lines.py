@@ -71,7 +71,7 @@ def _order(doc: str = "doc_id", line: str = "line") -> Column:
 
 def _line_rows(df: DataFrame, text: str, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, 2 << 20):
+        for part in steps(batches, text, 1 << 20):
             points, row, start, end = split_lines(part.column(text))
             line, length = places(row), end - start
             keep = length >= least
@@ -92,9 +92,9 @@ def _candidate_texts(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     joined = df.select("doc_id", text).join(if_small(wanted, 200), F.col("doc_id").eqNullSafe(F.col("w_doc")), "inner").select("doc_id", text, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in steps(batches, text, 1 << 20):
             out = []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 lines = (r[text] or "").split("\n")
                 for w in r["wanted"]:
                     if w["line"] < len(lines):
@@ -114,8 +114,9 @@ def _neighbourhood(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("v", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
+        for part in steps(batches, "text", 1 << 16):
+            made = []
+            for r in part.to_pylist():
                 points = np.frombuffer(r["text"].encode("utf-32-le"), np.uint32)
                 n = len(points)
                 prefix, zero, whole = FIRST.prefix(points), np.zeros(1, np.int64), np.array([n])
@@ -128,8 +129,11 @@ def _neighbourhood(texts: DataFrame) -> DataFrame:
                             got.append((v.view(np.int64), at))
                 v, at = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
                 _, once = np.unique(at, return_index=True)
-                k = len(once)
-                yield pa.RecordBatch.from_arrays([pa.array(v[once]), pa.array(at[once].astype(np.int32)), pa.array([r["doc_id"]] * k, pa.int64()), *(pa.array(np.full(k, r[c]), schema.field(c).type) for c in ("line", "h1", "h2"))], schema=schema)
+                made.append((v[once], at[once], r))
+            sizes = [len(v) for v, _, _ in made]
+            owner = pa.array(np.repeat(np.arange(len(made)), sizes))
+            mine = [pa.array([r[c] for _, _, r in made], schema.field(c).type).take(owner) for c in ("doc_id", "line", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for v, _, _ in made])), pa.array(np.concatenate([a for _, a, _ in made]).astype(np.int32)), *mine], schema=schema)
 
     return texts.mapInArrow(run, "v long, place int, doc_id long, line int, h1 long, h2 long")
 
@@ -175,7 +179,7 @@ def dedup_lines(df: DataFrame, text: str = "text", least: int = LEAST) -> DataFr
     names = [*kept, "n_lines", "n_dropped", "dropped"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, 2 << 20):
+        for part in steps(batches, text, 1 << 20):
             texts, counts, gone = part.column(text).to_pylist(), [], []
             for i, drop in enumerate(part.column("drops").to_pylist()):
                 lines = (texts[i] or "").split("\n") if texts[i] is not None else []
