@@ -11,12 +11,14 @@ from timberline.llm.mixing import op3_mixing
 from timberline.llm.quality import op7_quality
 from timberline.llm.repeats import op10_repeats
 from timberline.llm.secrets import op8_secrets
+from timberline.llm.vectors import op4_vectors
 from timberline.llm.warc import op6_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
+    "op4_vectors": op4_vectors,
     "op5_minhash": op5_minhash,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
