@@ -44,3 +44,9 @@ def category_splits(hist: DataFrame, p: Penalties) -> DataFrame:
     node = W.partitionBy("node", "fid")
     rows = hist.select("node", "fid", F.col("bin").alias("cut"), F.col("g").alias("gl"), F.col("h").alias("hl"), F.col("c").alias("cl"), *(F.sum(x).over(node).alias(x) for x in "ghc"))
     return with_gain(rows, p)
+
+
+def best_category_splits(gains: DataFrame) -> DataFrame:
+    """As best_splits, but of equal gains the smallest category."""
+    best = gains.where("gain > 0").groupBy("node").agg(F.max(F.struct("gain", (-F.col("fid")).alias("minus"), (-F.col("cut")).alias("cut"), "gl", "hl", "cl", "g", "h", "c")).alias("b"))
+    return best.select("node", "b.gain", (-F.col("b.minus")).alias("fid"), (-F.col("b.cut")).alias("cut"), "b.gl", "b.hl", "b.cl", "b.g", "b.h", "b.c")

@@ -17,7 +17,7 @@ from timberline.operators.binning import bit_width, collect_thresholds, encode_b
 from timberline.operators.histogram import histogram, histogram_by_task, prefixed, root_sums, subtracted
 from timberline.operators.routing import node_of, partition_index, split_bit
 from timberline.operators.sampling import ColumnSampler
-from timberline.operators.splits import best_per_feature, best_splits, candidates, category_splits, with_gain
+from timberline.operators.splits import best_category_splits, best_per_feature, best_splits, candidates, category_splits, with_gain
 from timberline.plans import oracles as o
 from timberline.plans.model import nodes_table
 from timberline.plans.trainer import Model, load, train
@@ -481,11 +481,11 @@ def metric_auc(spark, d):
     f"""with c as (select l_linenumber as cut, sum(cast(y as double) - 0.5e0) as gl, cast(count(*) as double) as hl, count(*) as cl
 from (select l_linenumber, cast(l_extendedprice * (1 - l_discount) * (1 + l_tax) / 1000 as float) as y from lineitem) r group by 1),
 k as (select 0 as node, 0 as fid, cut, gl, hl, cl, sum(gl) over () as g, sum(hl) over () as h, sum(cl) over () as c from c)
-select cut, round(gl, 2) as gl, cl, round(cast(gain as double), -1) as gain from ({gain_steps("k", PLAIN, "node, fid, cut")}) z where gain > 0 order by gain desc, cut desc limit 1""",
+select cut, round(gl, 2) as gl, cl, round(cast(gain as double), -1) as gain from ({gain_steps("k", PLAIN, "node, fid, cut")}) z where gain > 0 order by gain desc, cut limit 1""",
 )
 def category_best_split(spark, d):
     m = FeatureMatrix(table(spark, d, "lineitem"), ["l_quantity"], y=F.expr(o.BASES["L"][2]), categories=["l_linenumber"], check=False)
-    b = best_splits(category_splits(histogram(with_gradients(m.design()), "categories"), PLAIN))
+    b = best_category_splits(category_splits(histogram(with_gradients(m.design()), "categories"), PLAIN))
     return b.select("cut", F.round("gl", 2).alias("gl"), F.col("cl").cast("long").alias("cl"), F.round(F.col("gain").cast("double"), -1).alias("gain"))
 
 
