@@ -118,8 +118,8 @@ values_ as (
 fences as (
   select depth, lang, source, max(total) as total,
          max(case when metric = 'symbols' then greatest(0.1e0, q3 + 3 * (q3 - q1)) end) as most_symbols,
-         max(case when metric = 'dup_lines' then greatest(0.3e0, q3 + 3 * (q3 - q1)) end) as most_dup_lines,
-         max(case when metric = 'repeats' then greatest(0.2e0, q3 + 3 * (q3 - q1)) end) as most_repeats,
+         max(case when metric = 'dup_lines' then greatest(0.6e0, q3 + 3 * (q3 - q1)) end) as most_dup_lines,
+         max(case when metric = 'repeats' then greatest(0.3e0, q3 + 3 * (q3 - q1)) end) as most_repeats,
          max(case when metric = 'word_length' then q3 + greatest(2.0e0, 3 * (q3 - q1)) end) as most_length,
          max(case when metric = 'word_length' then q1 - greatest(2.0e0, 3 * (q3 - q1)) end) as least_length
   from values_ group by depth, lang, source),
