@@ -36,14 +36,14 @@ def histogram_by_task(df: DataFrame, depth: int, tree_fids: Sequence[int], tree_
     `nodes` keeps rows of these nodes only. Rows have bins, g and h."""
     width = len(sizes)
     use = list(range(width)) if fids is None else list(fids)
-    offset = np.concatenate(([0], np.cumsum([sizes[f] for f in use])))
     first, many = 2**depth - 1, 2**depth
+    widths = np.array([sizes[f] for f in use], np.int64)
+    start = np.concatenate(([0], np.cumsum(many * widths)))  # each feature has its own nodes x bins
     wanted = None if nodes is None else np.isin(np.arange(many), np.array(list(nodes), np.int64) - first)
     tree_fids, tree_cuts = np.array(list(tree_fids) or [0], np.int64), np.array(list(tree_cuts) or [0], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length = many * int(offset[-1])
-        sums = [np.zeros(length) for _ in range(3)]
+        sums = [np.zeros(int(start[-1])) for _ in range(3)]
         for batch in batches:
             x, n = flat_lists(batch.column("bins"))
             if not n:
@@ -54,14 +54,14 @@ def histogram_by_task(df: DataFrame, depth: int, tree_fids: Sequence[int], tree_
                 keep = wanted[node]
                 x, node, g, h = x[keep], node[keep], g[keep], h[keep]
             for i, f in enumerate(use):
-                cell = node * offset[-1] + offset[i] + x[:, f]
+                cell = node * widths[i] + x[:, f]
                 for total, w in zip(sums, (g, h, None)):
-                    total += np.bincount(cell, weights=w, minlength=length)
+                    total[start[i] : start[i + 1]] += np.bincount(cell, weights=w, minlength=many * widths[i])
         at = np.flatnonzero(sums[2])
-        node, cell = np.divmod(at, max(1, offset[-1]))
-        i = np.searchsorted(offset, cell, side="right") - 1
+        i = np.searchsorted(start, at, side="right") - 1
+        node, code = np.divmod(at - start[i], widths[i])
         yield pa.RecordBatch.from_arrays(
-            [pa.array((node + first).astype(np.int32)), pa.array(np.array(use, np.int32)[i]), pa.array((cell - offset[i]).astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at]), pa.array(sums[2][at].astype(np.int64))],
+            [pa.array((node + first).astype(np.int32)), pa.array(np.array(use, np.int32)[i]), pa.array(code.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at]), pa.array(sums[2][at].astype(np.int64))],
             names=["node", "fid", "bin", "g", "h", "c"],
         )
 
