@@ -81,6 +81,23 @@ def test_by_brute_force(spark):
     assert all(kept == (i == c) for i, (c, kept) in got.items())
 
 
+def test_dense_groups_by_brute_force(spark, monkeypatch):
+    from timberline.llm import minhash
+
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 2000)
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(100)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 6])):
+            w[r.randrange(len(w))] = f"edit{i}x{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [w[1] for w in brute(rows)]
+
+
 def test_odd_rows(spark):
     long = "a b c d e f g " * 20000
     rows = [(5, None), (6, ""), (7, " \n"), (8, "one two"), (8, "one two"), (9, "one two"), (None, "one two"), (None, "alone in the world of nulls"), (None, long), (None, long + "h"), (3, "three")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -85,7 +87,21 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batches: Iterable[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text."""
+    """The same rows in batches of about `most` bytes of text. At the end of the task, memory that its arrays took goes back to the system."""
+    try:
+        yield from _steps(batches, text, most)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Hands freed memory back, which allocators else keep for a worker's next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _steps(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -182,20 +198,23 @@ def if_small(table: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) by minimum labels: (id, component), component the smallest id reachable.
-
-    Each round stores (id, label) in the shared folder: the label becomes the least among the neighbours' and its own,
-    then the label of that label (pointer jumping), until nothing changes. Joins are on ids; a node with very many edges is
-    pre-aggregated (min is combinable) before the shuffle and its label side is one row."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("root"), F.col("component").alias("up"))
-        step = step.join(jump, step["component"] == jump["root"], "left").select("id", "was", F.least("component", F.coalesce("up", "component")).alias("component"))
-        step = stored(step, "labels")
-        changed = step.where("was <> component").limit(1).count()
-        labels = step.select("id", "component")
-        if not changed:
-            return labels
+    """Connected components of (a, b) by contraction: (id, component), component the smallest id reachable; ids without an edge to another are left out.
+
+    Each round every id goes over to its least neighbour if that is smaller, and on to where that one goes; edges are then drawn between the new labels, and equal ones merge.
+    So edges shrink from round to round. Minima combine before the shuffle, so an id with very many edges is one row per task. Each round's tables are stored in the shared folder."""
+    edge = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
+    while labels is None or edge.limit(1).count():
+        both = edge.union(edge.select("b", "a"))
+        near = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("up"))
+        on = near.select(F.col("id").alias("at"), F.col("up").alias("on"))
+        up = stored(near.join(on, near["up"] == on["at"], "left").select("id", F.coalesce("on", "up").alias("up")), "up")
+        low, high = (up.select(F.col("id").alias(f"i{k}"), F.col("up").alias(f"u{k}")) for k in (0, 1))
+        edge = edge.join(low, F.col("a") == F.col("i0")).join(high, F.col("b") == F.col("i1"))
+        edge = stored(edge.select(F.least("u0", "u1").alias("a"), F.greatest("u0", "u1").alias("b")).where("a <> b").distinct(), "edges")
+        if labels is None:
+            labels = up.select("id", F.col("up").alias("component"))
+        else:
+            moved = up.select(F.col("id").alias("was"), F.col("up").alias("now"))
+            labels = labels.join(moved, labels["component"] == moved["was"], "left").select("id", F.coalesce("now", "component").alias("component"))
+    return labels

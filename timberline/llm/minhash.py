@@ -6,8 +6,9 @@ to one copy, and counts if the text has that many. Points go to registers at ran
 a probability of the weighted Jaccard similarity. Points are generated in ascending order, only up to a bound at which all registers are very likely filled, and further for texts where they are not.
 
 Signatures are banded (20 bands of 5 registers find a pair at similarity 0.8 with probability 0.9997). Equal multisets are one class. Within a bucket, classes are compared with a leader; after components
-are merged, two more leaders drawn anew meet classes of other components; then all pairs in different components of one bucket are compared, so no link between components is lost and no pairs
-are listed where leaders have already merged a bucket. Every pair's multiset overlap is verified.
+are merged, another leader drawn anew meets classes of other components. What then still holds several components is compared whole, so that no link between components is lost: buckets of up to
+SMALL classes by their pairs in different components, larger ones in blocks: overlapping buckets are put together, dealt in blocks of bounded size, and each pair of blocks is one product of
+incidence matrices, from which only components leave. Every link is verified by multiset overlap.
 
 Rows: a text without words (or null) is a group of its own; very long texts count whole; a null doc_id comes last in its group; rows that repeat doc_id and text share
 their class. An empty table gives no rows. Columns besides doc_id and the text are ignored."""
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Rolling, components, if_small, mix64, read, steps, stored, text_buffer, words
+from timberline.llm.common import Rolling, components, if_small, mix64, partitions, read, steps, stored, text_buffer, words
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
+#: Classes of a bucket whose pairs are listed, and shingles of a block.
+SMALL, BLOCK = 24, 1 << 20
 ROLL = Rolling(41)
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -172,6 +175,72 @@ def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, text: str, si
     return stored(both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("ea") + F.size("eb") - F.col("common"))).select("a", "b"), "links")
 
 
+def overlaps_at_least(elements: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets of keys have this Jaccard similarity, from products of incidence matrices over the keys that two or more hold."""
+    sizes = np.array([len(e) for e in elements])
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    _, key, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    keep = count[key] > 1
+    owner, key = owner[keep], key[keep]
+    order = np.argsort(key, kind="stable")
+    owner, key = owner[order], key[order]
+    place = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if len(key) else key
+    common = np.zeros((n, n), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 2048):
+        a, b = np.searchsorted(place, [low, low + 2048])
+        x = np.zeros((n, 2048), np.float32)
+        x[owner[a:b], place[a:b] - low] = 1
+        common += x @ x.T
+    return common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+
+
+def least_labels(linked: np.ndarray) -> np.ndarray:
+    """The least place in each place's component."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _dense_links(member: DataFrame, df: DataFrame, classes: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect what is connected within large buckets (key, c), compared whole."""
+    star = member.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("b"))
+    group = components(member.join(star, member["key"] == star["k"]).select(F.col("c").alias("a"), "b").where("a <> b"))
+    own = group.join(classes, F.col("id") == F.col("c")).select("c", "component", "size", F.col("at.doc").alias("doc"), F.col("at.text_hash").alias("text_hash"))
+    blocks = own.groupBy(F.col("component").alias("g")).agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many"))
+    blocks = blocks.select("g", F.greatest("blocks", F.ceil(F.col("many") / 1024).cast("int")).alias("blocks"))
+    own = stored(own.join(blocks, F.col("component") == F.col("g")).drop("g"), "dense")
+    sets = stored(_multisets(df, own.select("c", "doc", "text_hash"), text, size).withColumnRenamed("c", "s"), "dense-multisets")
+    block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    cell = own.select("c", "component", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cell = cell.select("c", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, F.col("c") == F.col("s")).drop("s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(held: list) -> pa.RecordBatch:
+            ids = np.array([h[0] for h in held])
+            label = least_labels(overlaps_at_least([h[1] for h in held], similarity))
+            far = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                here = tuple(batch.column(c)[at].as_py() for c in ("component", "i", "j"))
+                if held and here != key:
+                    yield solve(held)
+                    held = []
+                key = here
+                held.append((batch.column("c")[at].as_py(), batch.column("elements")[at].values.to_numpy(zero_copy_only=False).copy()))
+        if held:
+            yield solve(held)
+
+    return stored(cell.repartition(partitions(df.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long").distinct(), "dense-links")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, class_id, kept), a row per document: class_id is the least doc_id of its group, kept the one document (and rows that repeat it) that stays."""
     features = stored(_features(df, text, size, bands, rows), "features")
@@ -182,16 +251,27 @@ def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, simila
     shared = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
     bucket = stored(bucket.join(shared, bucket["key"] == shared["k"]).drop("k"), "buckets")
     close = F.least("size", "l_size") >= similarity * F.greatest("size", "l_size")
-    links, seen, label = None, None, bucket.select("c").distinct().withColumn("group", F.col("c"))
-    for turn in range(4):
+    every = stored(bucket.select("c").distinct(), "bucketed")
+    seen, label = None, every.withColumn("group", F.col("c"))
+
+    def merged(new: DataFrame) -> DataFrame:
+        """Labels after new links, which are drawn between the components so far."""
+        low, high = (label.select(F.col("c").alias(f"c{k}"), F.col("group").alias(f"g{k}")) for k in (0, 1))
+        found = components(new.join(low, F.col("a") == F.col("c0")).join(high, F.col("b") == F.col("c1")).select(F.col("g0").alias("a"), F.col("g1").alias("b")))
+        return stored(label.join(found, F.col("group") == F.col("id"), "left").select("c", F.coalesce("component", "group").alias("group")), "labels")
+
+    for turn in range(3):
         member = bucket.join(label.withColumnRenamed("c", "l"), bucket["c"] == F.col("l")).drop("l")
         if turn:  # only buckets that still hold several components
-            open_ = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+            open_ = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high").select(F.col("key").alias("k"), (F.col("n") <= SMALL).alias("small"))
             member = stored(member.join(open_, member["key"] == open_["k"]).drop("k"), "open")
-        if turn < 3:
+        if turn < 2:
             lead = F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("draw"), F.col("c").alias("lead"), F.col("size").alias("l_size"), F.col("group").alias("l_group")))
             lead = member.groupBy(F.col("key").alias("k")).agg(lead.alias("l")).select("k", "l.*")
         else:
+            if member.where("not small").limit(1).count():
+                label = merged(_dense_links(member.where("not small").select("key", "c"), df, classes, text, size, similarity))
+            member = member.where("small")
             lead = member.select(F.col("key").alias("k"), F.col("c").alias("lead"), F.col("size").alias("l_size"), F.col("group").alias("l_group"))
         pair = member.join(lead, member["key"] == F.col("k")).where((F.col("group") != F.col("l_group")) & close)
         pair = pair.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
@@ -201,10 +281,7 @@ def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, simila
         if not pair.limit(1).count():
             continue
         seen = pair if seen is None else seen.union(pair)
-        new = _verified(pair, df, classes, text, size, similarity)
-        links = new if links is None else links.union(new)
-        found = components(links)
-        label = stored(bucket.select("c").distinct().join(found, F.col("c") == F.col("id"), "left").select("c", F.coalesce("component", "c").alias("group")), "labels")
+        label = merged(_verified(pair, df, classes, text, size, similarity))
     grouped = classes.join(label.withColumnRenamed("c", "l"), classes["c"] == F.col("l"), "left").select("f1", "f2", "at", F.coalesce("group", "c").alias("group"))
     grouped = stored(grouped, "grouped")
     least = grouped.groupBy(F.col("group").alias("g")).agg(F.min("at").alias("least"))
