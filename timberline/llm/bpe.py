@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import read
+from timberline.llm.common import read, steps
 
 # How the vocabulary file's pre-tokenizer splits a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """A vocabulary with its merges. Encoded pieces are remembered, until there are `remembered` of them: frequent ones come early."""
 
-    def __init__(self, file: bytes, remembered: int = 800_000):
+    def __init__(self, file: bytes, remembered: int = 100_000):
         spec = json.loads(file)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         value = {x: b for b, x in enumerate(letters)}
@@ -119,12 +119,10 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shared.value)
         bpe = _loaded.get(key) or _loaded.setdefault(key, Bpe(shared.value))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [bpe.encode(x or "") for x in part.column(text).to_pylist()]
-                decoded = [bpe.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
+        for part in steps(batches, text):
+            ids = [bpe.encode(x or "") for x in part.column(text).to_pylist()]
+            decoded = [bpe.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
 
     schema = df.select(*rest).schema.add("ids", "binary").add("decoded", "string")
     return df.select(*rest, text).mapInArrow(run, schema)

@@ -15,14 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step in numpy handles; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+#: Bytes of text, and texts, that one step in numpy handles; a longer text makes a step of its own.
+STEP_BYTES, STEP_ROWS = 1 << 19, 1024
 
 _own_dir: dict[int, str] = {}
 
 
 #: Bytes of an Arrow batch between Spark and Python; Spark's own bound is in rows, and texts differ in size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -87,7 +87,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batches: Iterable[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text. At the end of the task, memory that its arrays took goes back to the system."""
+    """The same rows in batches of about `most` bytes of text and at most STEP_ROWS rows. At the end of the task, memory that its arrays took goes back to the system."""
     try:
         yield from _steps(batches, text, most)
     finally:
@@ -109,7 +109,7 @@ def _steps(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
         total, at = np.cumsum(sizes), 0
         while at < len(sizes):
             before = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
+            end = min(at + STEP_ROWS, max(at + 1, int(np.searchsorted(total, before + most, side="right"))))
             yield batch.slice(at, end - at)
             at = end
 

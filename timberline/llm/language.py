@@ -153,7 +153,7 @@ def fit_language_model(df: DataFrame, text: str = "text", lang: str = "lang", do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps([batch], "text", 1 << 20):
+            for part in steps([batch], "text"):
                 rows = features(part.column("text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("draw"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "draw", "x"])
 
@@ -174,7 +174,7 @@ def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", ke
     rest = [c for c in df.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, 1 << 20):
+        for part in steps(batches, text):
             names, scores = shared.value.predict(part.column(text))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
