@@ -11,7 +11,7 @@ from timberline.llm.bpe import Bpe, bpe_round_trip, default_vocabulary
 def both():
     path = default_vocabulary()
     with open(path, "rb") as f:
-        return Bpe(f.read()), Tokenizer.from_file(path)
+        return Bpe(f.read(), 5000), Tokenizer.from_file(path)
 
 
 def test_same_as_the_library(both):

@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """A vocabulary with its merges. Encoded pieces are remembered, until there are `remembered` of them: frequent ones come early."""
 
-    def __init__(self, file: bytes, remembered: int = 100_000):
+    def __init__(self, file: bytes, remembered: int):
         spec = json.loads(file)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         value = {x: b for b, x in enumerate(letters)}
@@ -104,10 +104,13 @@ class Bpe:
         return b"".join(map(self.strings.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-_loaded: dict[int, Bpe] = {}
+#: Pieces that a worker remembers between tasks (about 200 bytes each), and how many in a pipeline, whose other stages need the room.
+REMEMBERED, FEW = 600_000, 100_000
 
+_loaded: dict[tuple[int, int], Bpe] = {}
 
-def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+
+def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Replaces `text` by ids (binary: little-endian unsigned 32-bit integers) and decoded (string).
 
     `vocabulary` is the path of a byte-level BPE file in the tokenizers library's JSON format. The driver reads it (its size is that of the
@@ -117,8 +120,8 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     rest = [c for c in df.columns if c not in (text, "ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        bpe = _loaded.get(key) or _loaded.setdefault(key, Bpe(shared.value))
+        key = (hash(shared.value), remembered)
+        bpe = _loaded.get(key) or _loaded.setdefault(key, Bpe(shared.value, remembered))
         for part in steps(batches, text):
             ids = [bpe.encode(x or "") for x in part.column(text).to_pylist()]
             decoded = [bpe.decode(x) for x in ids]
@@ -146,5 +149,5 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids: doc_id, lang, source, ids (little-endian unsigned 32-bit integers), n_tokens, and the digest of the decoded text."""
-    got = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), default_vocabulary())
+    got = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), default_vocabulary(), remembered=FEW)
     return got.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
