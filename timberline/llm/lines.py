@@ -89,7 +89,7 @@ def _line_rows(df: DataFrame, text: str, least: int) -> DataFrame:
 
 def _candidate_texts(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """Texts of the lines in `wanted` (w_doc, array of (line, h1, h2, keys))."""
-    joined = df.select("doc_id", text).join(if_small(wanted, 200), F.col("doc_id").eqNullSafe(F.col("w_doc")), "inner").select("doc_id", text, "wanted")
+    joined = df.select("doc_id", text).join(if_small(wanted, 64, "wanted", 120), F.col("doc_id").eqNullSafe(F.col("w_doc")), "inner").select("doc_id", text, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
@@ -175,7 +175,7 @@ def dedup_lines(df: DataFrame, text: str = "text", least: int = LEAST) -> DataFr
     new = ("n_lines", "n_dropped", "dropped", "drops", "d_doc")
     kept = [c for c in df.columns if c not in new]
     drops = dropped_lines(df, text, least)
-    joined = df.select(*kept).join(if_small(drops, 120), F.col("doc_id").eqNullSafe(F.col("d_doc")), "left").select(*kept, "drops")
+    joined = df.select(*kept).join(if_small(drops, 64, "drops", 32), F.col("doc_id").eqNullSafe(F.col("d_doc")), "left").select(*kept, "drops")
     names = [*kept, "n_lines", "n_dropped", "dropped"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from timberline.llm.common import Rolling, if_small, mix64, partitions, read, steps, stored, text_buffer
 
-LENGTH, GRAM = 400, 272
+LENGTH, GRAM = 400, 304
 #: Classes of an anchor above which its windows are counted by hash, and strings of a collection.
 HOT, COLLECTION = 4096, 1536
 #: Symbols that no UTF-8 text holds: the anchor, and what precedes a whole string.
@@ -70,7 +70,7 @@ RUN_SQL = "g long, h1 long, h2 long, doc_id long, text_hash int, first int, last
 
 def _grams(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, 1 << 20):
+        for part in steps(batches, text):
             yield pa.RecordBatch.from_arrays([pa.array(anchor_runs(*text_buffer(part.column(text)), length, gram)[4].view(np.int64))], names=["g"])
 
     return df.select(text).mapInArrow(run, "g long")
@@ -78,7 +78,7 @@ def _grams(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
 
 def _runs(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, 1 << 20):
+        for part in steps(batches, text):
             data, at = text_buffer(part.column(text))
             row, first, last, anchor, g, prefix = anchor_runs(data, at, length, gram)
             h1, h2 = FIRST.of(prefix, first, last + length), SECOND.of(SECOND.prefix(data), first, last + length)
@@ -162,11 +162,11 @@ def _strings(df: DataFrame, edge: DataFrame, text: str, length: int, gram: int)
     """What stands before and after the anchor in each class of `edge`, from a text that has it."""
     item = F.struct("g", "h1", "h2", "n", "classes", F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.col("at.anchor").alias("anchor"))
     lists = stored(edge.groupBy(F.col("at.doc").alias("e_doc"), F.col("at.text_hash").alias("e_hash")).agg(F.collect_list(item).alias("items")), "edges-by-text")
-    joined = _keyed(df, text).join(if_small(lists, 200), F.col("doc_id").eqNullSafe(F.col("e_doc")) & (F.col("text_hash") == F.col("e_hash"))).select(text, "items")
+    joined = _keyed(df, text).join(if_small(lists, 64, "items", 80), F.col("doc_id").eqNullSafe(F.col("e_doc")) & (F.col("text_hash") == F.col("e_hash"))).select(text, "items")
     kinds = pa.schema([*((k, pa.int64()) for k in ("g", "h1", "h2", "n", "classes")), ("before", pa.binary()), ("after", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, 1 << 20):
+        for part in steps(batches, text):
             out = []
             for t, items in zip(part.column(text).to_pylist(), part.column("items").to_pylist()):
                 data = (t or "").encode()
@@ -232,26 +232,50 @@ def _by_counts(strings: DataFrame, wide: int) -> DataFrame:
 
 
 def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(r_doc, r_hash, spans: array of (start, stop)) of the texts that hold repeated windows; stored. Spans may overlap.
+    """(r_doc, r_hash, spans: array of (start, stop)) of the texts that hold repeated windows; stored.
 
-    Shuffled are hashes of anchors (combined first), then rows of anchors that repeat; texts only where a list of spans is not small enough to broadcast."""
+    Shuffled are hashes of anchors (combined first), then rows of anchors, joined with those that repeat; texts only where a list of spans is not small enough to broadcast.
+    What grows with the anchors is never broadcast by us, so the plan is the same at every size."""
     wide = length - gram + 1
     again = stored(_grams(df, text, length, gram).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("k")), "anchors")
     hits = _runs(df, text, length, gram)
-    hits = stored(hits.join(if_small(again, 16), hits["g"] == again["k"]).drop("k"), "runs")
+    hits = stored(hits.join(again, hits["g"] == again["k"]).drop("k"), "runs")
     place = F.struct(F.col("doc_id").alias("doc"), "text_hash", "first", "last", "anchor")
     classes = stored(hits.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("g").alias("g"), F.min(place).alias("at")), "spans")
     mixed = stored(classes.groupBy("g").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").select(F.col("g").alias("k"), "classes"), "mixed")
-    edge = stored(classes.join(if_small(mixed, 24), classes["g"] == mixed["k"]).drop("k"), "edges")
+    edge = stored(classes.join(mixed, classes["g"] == mixed["k"]).drop("k"), "edges")
     strings = stored(_strings(df, edge, text, length, gram), "strings")
     parts = _by_collections(strings.where(F.col("classes") <= hot), wide).union(_by_counts(strings.where(F.col("classes") > hot), wide))
     parts = stored(parts, "parts").withColumnsRenamed({"h1": "p1", "h2": "p2"})
     once = edge.where("n = 1").join(parts, (edge["h1"] == parts["p1"]) & (edge["h2"] == parts["p2"]))
     once = once.select(F.col("at.doc").alias("r_doc"), F.col("at.text_hash").alias("r_hash"), (F.col("at.first") + F.col("low")).alias("start"), (F.col("at.first") + F.col("high") + length).alias("stop"))
     whole = stored(classes.where("n > 1").select(F.col("h1").alias("p1"), F.col("h2").alias("p2")), "repeated")
-    full = hits.join(if_small(whole, 32), (hits["h1"] == whole["p1"]) & (hits["h2"] == whole["p2"]))
+    full = hits.join(whole, (hits["h1"] == whole["p1"]) & (hits["h2"] == whole["p2"]))
     full = full.select(F.col("doc_id").alias("r_doc"), F.col("text_hash").alias("r_hash"), F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    return stored(full.union(once).groupBy("r_doc", "r_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "repeats")
+    return stored(_merged(full.union(once).groupBy("r_doc", "r_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))), "repeats")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Maximal runs in place of overlapping or adjacent spans, in order."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("spans")
+            n, held = batch.num_rows, column.flatten()
+            row = np.repeat(np.arange(n), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            start, stop = (held.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop"))
+            order = np.lexsort((start, row))
+            row, start, stop = row[order], start[order] + (row[order] << 32), stop[order] + (row[order] << 32)
+            reach = np.maximum.accumulate(stop) if len(stop) else stop
+            first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1]))) if len(start) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(start)) - 1
+            low, high = ((x & 0xFFFFFFFF).astype(np.int32) for x in (start[first], reach[last]))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=n)))).astype(np.int32)
+            runs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(low), pa.array(high)], fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([batch.column("r_doc"), batch.column("r_hash"), runs], names=["r_doc", "r_hash", "spans"])
+
+    return spans.mapInArrow(run, "r_doc long, r_hash int, spans array<struct<start:int,stop:int>>")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -260,11 +284,11 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, gram
     rest = [c for c in df.columns if c not in (*new, text)]
     spans = repeated_spans(df.select("doc_id", text), text, length, gram, hot)
     joined = df.select(*rest, text, F.coalesce(F.hash(text), F.lit(0)).alias("text_hash"))
-    joined = joined.join(if_small(spans, 160), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_hash") == F.col("r_hash")), "left").select(*rest, text, "spans")
+    joined = joined.join(if_small(spans, 64, "spans", 24), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_hash") == F.col("r_hash")), "left").select(*rest, text, "spans")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, text, 1 << 20):
+        for part in steps(batches, text):
             sizes, removed, kept = [], [], []
             for t, spans in zip(part.column(text).to_pylist(), part.column("spans").to_pylist()):
                 data = (t or "").encode()
