@@ -67,3 +67,15 @@ def test_query(spark):
     got = op9_lines(spark, d).collect()
     assert sum(r.n_dropped for r in got) == len(gone) > 0 and len(got) == len(rows)
     assert {r.doc_id for r in got if r.n_dropped} == {at[1] for at, _ in gone}
+
+
+def test_short_lines(spark):
+    rows = [(1, "All rights reserved.\n\nü\nOne"), (2, "All rights reserved.\n\n \nTwo"), (3, "All rights reserved\n\n \nü\n\r"), (4, "\r\nü"), (5, " " * 50), (6, " " * 50)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n \nTwo", 1), 3: ("\n \n\r", 2), 4: ("\r", 1), 5: (" " * 50, 0), 6: ("", 1)}
+
+
+def test_short_lines_by_brute_force(spark):
+    r = random.Random(8)
+    rows = [(d, "\n".join("".join(r.choice("abcdefghijklmnopqé") for _ in range(r.choice([0, 1, 2, 3, 5, 8, 12]))) for _ in range(r.randint(0, 5)))) for d in range(60)]
+    check(spark, rows + [(d + 100, t) for d, t in rows[::3]], LEAST)

@@ -1,7 +1,8 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join.
 
 A line of at least `least` code points is dropped if an earlier one (by doc_id, then place in its document) is equal to it or one insertion,
-deletion or substitution away, whether or not that earlier line is kept itself. Shorter lines always stay.
+deletion or substitution away, whether or not that earlier line is kept itself. By default every line that holds a word takes part. Empty lines
+part paragraphs and always stay, as do lines of under BLANK code points of white space only.
 
 Equal lines meet in one aggregate. Two lines one edit apart share, of one half of them, everything outside; so distinct lines are first keyed by what lies outside each
 half, and only those whose key another line has are candidates. These emit every variant with one character of the half deleted, as hashed keys.
@@ -23,7 +24,9 @@ from pyspark.sql import types as T
 
 from timberline.llm.common import Rolling, beside, if_small, mix64, read, steps, stored, text_buffer
 
-LEAST = 40
+LEAST = 1
+#: Code points from which a line without a word takes part too.
+BLANK = 40
 FIRST, SECOND = Rolling(21), Rolling(22)
 
 
@@ -44,6 +47,12 @@ def places(row: np.ndarray) -> np.ndarray:
     return np.arange(len(row)) - np.searchsorted(row, row)
 
 
+def wordy(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which lines hold a word, that is any code point besides white space."""
+    upto = np.concatenate(([0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))))
+    return upto[end] > upto[start]
+
+
 def outside(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, length: np.ndarray, half: int) -> np.ndarray:
     """Hash of what lies outside a half, of lines taken as edits of `length` code points (their own length, or one less)."""
     middle = length // 2
@@ -74,7 +83,7 @@ def _line_rows(df: DataFrame, text: str, least: int) -> DataFrame:
         for part in steps(batches, text):
             points, row, start, end = split_lines(part.column(text))
             line, length = places(row), end - start
-            keep = length >= least
+            keep = (length >= least) & ((length >= BLANK) | wordy(points, start, end))
             row, start, end, line, length = row[keep], start[keep], end[keep], line[keep], length[keep]
             p1, p2 = FIRST.prefix(points), SECOND.prefix(points)
             keys = np.stack([outside(p1, start, end, length - less, half) for less in (0, 1) for half in (0, 1)], axis=1)
