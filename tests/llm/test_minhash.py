@@ -64,6 +64,20 @@ def test_register_agreement_is_weighted_jaccard():
     assert abs((got[0] == got[1]).mean() - want) < 4 * (want * (1 - want) / 4000) ** 0.5
 
 
+def test_signature_is_the_same_alone_and_in_a_full_step():
+    r = np.random.default_rng(2)
+    n = 3000
+    sizes = r.choice([1, 3, 8, 20, 60], n)
+    row = np.repeat(np.arange(n), sizes)
+    h = r.integers(0, 1 << 62, len(row), dtype=np.uint64)
+    weight = r.choice([1, 1, 1, 2, 7, 40], len(row))
+    full = signatures(row, h, weight, n, 100)
+    for few in (np.arange(1), np.arange(5, 25), np.arange(100, 600)):
+        held = (row >= few[0]) & (row <= few[-1])
+        alone = signatures(row[held] - few[0], h[held], weight[held], len(few), 100)
+        assert np.array_equal(alone.view(np.uint64), full[few].view(np.uint64))
+
+
 def test_shingles_count_like_brute_force():
     texts = [None, "", "a", "a b c d e", "a b c d e a b c d e a b c d e", "x  y\n z", " ".join("ab" * 40)]
     row, h = shingles(pa.array(texts))

@@ -95,7 +95,9 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: in
             with np.errstate(over="ignore"):
                 draw = mix64(seeds[own, None] + np.arange(k + 1, k + wide + 1, dtype=np.uint64) * B)
             rate = np.maximum(low[own], 1)[:, None]
-            points = x[:, None] + np.cumsum(-np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / rate, axis=1)
+            gaps = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / rate
+            # summed strictly in sequence, as band keys hash every bit: a point is the same whatever the width
+            points = np.cumsum(np.concatenate((x[:, None], gaps), axis=1), axis=1)[:, 1:]
             hit = points < bound[rows[own], None]
             i, j = np.nonzero(hit)
             other = mix64(draw[i, j] ^ C)
