@@ -29,3 +29,10 @@ def test_odd_rows(spark):
     empty = df.limit(0)
     assert predict_language(empty, fit_language_model(empty)).count() == 0
     assert predict_language(df, fit_language_model(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_stage_without_labels(spark):
+    rows = [(1, "the and of with that", None, "a"), (3, "ü", None, "b"), (5, None, None, "c"), (7, "123 ### !!", None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = stage_language(spark, df, "")
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]

@@ -189,6 +189,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; all columns stay as they are."""
+    """Documents without a recognisable language go; all columns stay as they are. Where nothing could be learned, all with a letter stay."""
     model = fit_language_model(docs)
+    if model.families is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return beside(docs, ("doc_id", "text", "lang"), lambda d: predict_language(d, model).where("lang_pred <> 'und'"))
