@@ -53,3 +53,12 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in want) for k in range(3)]
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def test_key_inside_a_long_token(spark):
+    path = "/".join(["stories", "letters", "notes", "reader", "winter", "summer", "collection", "2019", "chapter", "garden"])
+    key = "q7Zr2KfW9xLb4VtN8mYs3HcD6pGj1TaE"
+    texts = ["see " + path + "/option=" + key + "/" + path, "see " + path + "/option/" + path, "0123456789abcdef" * 2 + "/" + key, key]
+    rows = find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = [[(f.kind, f.start, f.stop) for f in r.findings] for r in rows]
+    assert got == [[("model", 4, len(texts[0]))], [], [("hex", 0, 32), ("model", 32, 65)], [("model", 0, 32)]]

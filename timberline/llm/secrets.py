@@ -1,8 +1,9 @@
 """Secret scanning: fixed patterns, and a character convolutional network in numpy over every candidate with its surrounding context.
 
 Three base kinds are found by patterns and always stay. Any other long token that mixes letters and digits is a candidate too. The network sees 32 characters before
-the candidate, the candidate (its first 48 and last 16 characters where it is longer) and 16 after; it is trained on labelled findings made from a fixed seed, its score
-is calibrated on others, and the threshold is the highest that keeps the wanted recall on these. Candidates over it that don't overlap a base finding become findings of kind `model`.
+the candidate, the candidate (its first 48 and last 16 characters where it is longer, and then also every window of 64, of which the greatest score counts) and 16 after; it is trained on
+labelled findings made from a fixed seed, its score is calibrated on others, and the threshold is the highest that keeps the wanted recall on these. Candidates over it, or what base
+findings leave of them where that is a candidate too, become findings of kind `model`.
 
 Rows: a null text counts as empty; very long texts are searched whole; repeated rows give repeated findings; an empty table gives no rows.
 A column named findings is replaced."""
@@ -75,6 +76,21 @@ def letters(text: str, start: int, end: int) -> list[int]:
     return [pad] * (BEFORE - len(left)) + [place(c) for c in left] + [LETTERS + place(c) for c in own] + [LETTERS + pad] * (HEAD + TAIL - len(own)) + [place(c) for c in right] + [pad] * (AFTER - len(right))
 
 
+def outside(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What base findings leave of a candidate, as far as it is a candidate itself."""
+    out, at = [], start
+    for low, _, high in [b for b in base if b[0] < end and start < b[2]] + [(end, 0, end)]:
+        out += [(at + s, at + e) for s, e in candidates(text[at : max(at, low)])]
+        at = max(at, high)
+    return out
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a candidate that the network sees: the whole, and, where that is cut, windows that overlap by half."""
+    size = HEAD + TAIL
+    return [(start, end)] + ([(at, at + size) for at in [*range(start, end - size, size // 2), end - size]] if end - start > size else [])
+
+
 @dataclass
 class Network:
     """One convolution over letters (a table for each offset), the maximum over places, and a linear layer; score = logistic(slope * z + shift)."""
@@ -185,16 +201,31 @@ def find_secrets(df: DataFrame, text: str = "text", recall: float = 0.98) -> Dat
     def search(column: pa.Array, net: Network) -> list[list[dict]]:
         hit = {k: pc.fill_null(pc.match_substring_regex(column, s), False).to_numpy(zero_copy_only=False) for k, s in SIEVES.items()}
         out: list[list[dict]] = [[] for _ in range(len(column))]
-        owners, inputs, spans = [], [], []
+        owners, inputs, spans, starts, parts = [], [], [], [], []
+        done = 0
+
+        def flush(most: int = 1024) -> None:
+            nonlocal done
+            if len(inputs) > most:
+                parts.append(net.score(np.array(inputs, np.int64)))
+                done += len(inputs)
+                inputs.clear()
+
         for i in np.flatnonzero(np.any(list(hit.values()), axis=0)):
             t = column[int(i)].as_py()
             base = base_findings(t, tuple(k for k in KINDS[:3] if hit[k][i]))
-            more = [(s, 3, e) for s, e in candidates(t) if not any(b[0] < e and s < b[2] for b in base)] if hit["model"][i] else []
+            more = [(s, 3, e) for c in candidates(t) for s, e in outside(t, *c, base)] if hit["model"][i] else []
             for f in (*base, *more):
                 owners.append(int(i))
                 spans.append(f)
-                inputs.append(letters(t, f[0], f[2]))
-        scores = net.score(np.array(inputs, np.int64)) if inputs else []
+                seen = windows(f[0], f[2]) if f[1] == 3 else [(f[0], f[2])]
+                starts.append(done + len(inputs))
+                inputs += [letters(t, *w) for w in seen[:1]]
+                for k in range(1, len(seen), 1024):
+                    inputs += [letters(t, *w) for w in seen[k : k + 1024]]
+                    flush()
+        flush(0)
+        scores = np.maximum.reduceat(np.concatenate(parts), starts) if starts else []
         for i, (start, k, end), score in zip(owners, spans, scores):
             if k < 3 or score >= net.threshold:
                 out[i].append({"kind": KINDS[k], "start": start, "stop": end, "score": float(score)})
