@@ -43,13 +43,15 @@ def shingles(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarra
     h = mix64(word)
     with np.errstate(over="ignore"):
         for k in range(1, size):
+            m = max(0, n - k)  # words that have a k-th one after them in this step
             follows = np.zeros(n, bool)
-            follows[: n - k] = row[k:] == row[: n - k]
+            follows[:m] = row[k:] == row[:m]
             after = np.full(n, B)
-            after[: n - k] = word[k:]
+            after[:m] = word[k:]
             h = mix64(h * A + np.where(follows, after, C))
     whole = np.zeros(n, bool)
-    whole[: max(0, n - size + 1)] = row[size - 1 :] == row[: max(0, n - size + 1)]
+    m = max(0, n - size + 1)
+    whole[:m] = row[size - 1 :] == row[:m]
     first = np.concatenate(([True], row[1:] != row[:-1]))
     keep = whole | (first & (np.bincount(row)[row] < size))
     row, h = row[keep], h[keep]
