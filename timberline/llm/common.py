@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,61 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine (tests)."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = id(spark.sparkContext)
     if key not in _own_dir:
         _own_dir[key] = tempfile.mkdtemp(prefix="timberline-")
     return _own_dir[key]
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's own part of the shared folder, which goes when the driver ends."""
+    own = f"{shared_dir(spark)}/timberline-{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        place, at = _file_system(spark, own)
+        place.mkdirs(at)
+        place.deleteOnExit(at)
+        _marked.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_marked: set[str] = set()
+#: Paths that `stored` wrote since the innermost `scratch` began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are deleted at its end, but for those handed to the function that it gives; these belong to the scratch around it, if there is one.
+
+    What leaves it may read kept tables only."""
+    outer, own = _written.get(), []
+    kept: set[str] = set()
+    token = _written.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        for path in own:
+            if path not in kept:
+                place, at = _file_system(spark, path)
+                place.delete(at, True)
+            elif outer is not None:
+                outer.append(path)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
@@ -56,12 +101,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    if (written := _written.get()) is not None:
+        written.append(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # the shuffle files of plans that nobody holds any more go with them
     return kept
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """Marks the side of a join with texts that each task holds as a hash table: texts are shuffled by the key once and not sorted. The plan is the same at every size."""
+    return table.hint("shuffle_hash")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

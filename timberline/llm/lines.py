@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import Rolling, beside, if_small, mix64, read, steps, stored, text_buffer
+from timberline.llm.common import Rolling, beside, dealt, mix64, read, scratch, steps, stored, text_buffer
 
 LEAST = 1
 #: Code points from which a line without a word takes part too.
@@ -74,8 +74,18 @@ def variants(points: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.nd
     return out, at
 
 
-def _order(doc: str = "doc_id", line: str = "line") -> Column:
-    return F.struct(F.col(doc).isNull().alias("last"), F.col(doc).alias("doc"), F.col(line).alias("line"))
+def _order(doc: str = "doc_id", line: str = "line", key: str = "text_hash") -> Column:
+    """A line's place; the text's hash comes last and only tells rows of one doc_id apart."""
+    return F.struct(F.col(doc).isNull().alias("last"), F.col(doc).alias("doc"), F.col(line).alias("line"), F.col(key).alias("text_hash"))
+
+
+def _earlier(a: str, b: str) -> Column:
+    """Whether a place comes before another, whatever the text's hash."""
+    return F.struct(f"{a}.last", f"{a}.doc", f"{a}.line") < F.struct(f"{b}.last", f"{b}.doc", f"{b}.line")
+
+
+def _keyed(df: DataFrame, text: str) -> DataFrame:
+    return df.select("doc_id", F.xxhash64(text).alias("text_hash"), text)
 
 
 def _line_rows(df: DataFrame, text: str, least: int) -> DataFrame:
@@ -89,16 +99,17 @@ def _line_rows(df: DataFrame, text: str, least: int) -> DataFrame:
             keys = np.stack([outside(p1, start, end, length - less, half) for less in (0, 1) for half in (0, 1)], axis=1)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * 4), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(FIRST.of(p1, start, end).view(np.int64)), pa.array(SECOND.of(p2, start, end).view(np.int64)), listed],
-                names=["doc_id", "line", "h1", "h2", "keys"],
+                [part.column("doc_id").take(pa.array(row)), part.column("text_hash").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(FIRST.of(p1, start, end).view(np.int64)), pa.array(SECOND.of(p2, start, end).view(np.int64)), listed],
+                names=["doc_id", "text_hash", "line", "h1", "h2", "keys"],
             )
 
-    return df.select("doc_id", text).mapInArrow(run, "doc_id long, line int, h1 long, h2 long, keys array<long>")
+    return _keyed(df, text).mapInArrow(run, "doc_id long, text_hash long, line int, h1 long, h2 long, keys array<long>")
 
 
 def _candidate_texts(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """Texts of the lines in `wanted` (w_doc, array of (line, h1, h2, keys))."""
-    joined = df.select("doc_id", text).join(if_small(wanted, 64, "wanted", 120), F.col("doc_id").eqNullSafe(F.col("w_doc")), "inner").select("doc_id", text, "wanted")
+    """Texts of the lines in `wanted` (w_doc, w_hash, array of (line, h1, h2, keys))."""
+    same = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))
+    joined = _keyed(df, text).join(dealt(wanted), same).select("doc_id", "text_hash", text, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
@@ -111,16 +122,16 @@ def _candidate_texts(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                         points = np.frombuffer(own.encode("utf-32-le"), np.uint32)
                         prefix, whole = FIRST.prefix(points), np.array([len(points)])
                         if len(own) and FIRST.of(prefix, np.zeros(1, np.int64), whole).view(np.int64)[0] == w["h1"]:
-                            out.append({"doc_id": r["doc_id"], **w, "text": own})
+                            out.append({"doc_id": r["doc_id"], "text_hash": r["text_hash"], **w, "text": own})
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    kinds = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.string())])
-    return joined.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, keys array<long>, text string")
+    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.string())])
+    return joined.mapInArrow(run, "doc_id long, text_hash long, line int, h1 long, h2 long, keys array<long>, text string")
 
 
 def _neighbourhood(texts: DataFrame) -> DataFrame:
-    """(v, place, doc_id, line, h1, h2): each candidate itself at place -1, and its variants within the halves whose outside another line shares."""
-    schema = pa.schema([("v", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """(v, place, doc_id, text_hash, line, h1, h2): each candidate itself at place -1, and its variants within the halves whose outside another line shares."""
+    schema = pa.schema([("v", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text", 1 << 16):
@@ -141,10 +152,10 @@ def _neighbourhood(texts: DataFrame) -> DataFrame:
                 made.append((v[once], at[once], r))
             sizes = [len(v) for v, _, _ in made]
             owner = pa.array(np.repeat(np.arange(len(made)), sizes))
-            mine = [pa.array([r[c] for _, _, r in made], schema.field(c).type).take(owner) for c in ("doc_id", "line", "h1", "h2")]
+            mine = [pa.array([r[c] for _, _, r in made], schema.field(c).type).take(owner) for c in ("doc_id", "text_hash", "line", "h1", "h2")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for v, _, _ in made])), pa.array(np.concatenate([a for _, a, _ in made]).astype(np.int32)), *mine], schema=schema)
 
-    return texts.mapInArrow(run, "v long, place int, doc_id long, line int, h1 long, h2 long")
+    return texts.mapInArrow(run, "v long, place int, doc_id long, text_hash long, line int, h1 long, h2 long")
 
 
 def near_lines(distinct: DataFrame, df: DataFrame, text: str) -> DataFrame:
@@ -152,7 +163,7 @@ def near_lines(distinct: DataFrame, df: DataFrame, text: str) -> DataFrame:
     keyed = distinct.select("h1", "h2", "first", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
     wanted = keyed.join(shared, keyed["key"] == shared["k"]).groupBy("h1", "h2", "first").agg(F.collect_set("key").alias("keys"))
-    wanted = stored(wanted.groupBy(F.col("first.doc").alias("w_doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2", "keys")).alias("wanted")), "candidates")
+    wanted = stored(wanted.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.text_hash").alias("w_hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2", "keys")).alias("wanted")), "candidates")
     texts = stored(_candidate_texts(df, wanted, text).dropDuplicates(["h1", "h2"]), "candidate-lines")
     near = stored(_neighbourhood(texts), "neighbourhood")
     own = _order()
@@ -160,31 +171,40 @@ def near_lines(distinct: DataFrame, df: DataFrame, text: str) -> DataFrame:
     one = near.join(by_edit, near["v"] == by_edit["k"]).select("h1", "h2", own.alias("own"), F.when(F.col("place") < 0, F.col("variant")).otherwise(F.col("base")).alias("other"))
     by_place = near.where("place >= 0").groupBy(F.col("v").alias("k"), F.col("place").alias("p")).agg(F.min(own).alias("other"), F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
     two = near.join(by_place, (near["v"] == by_place["k"]) & (near["place"] == by_place["p"])).select("h1", "h2", own.alias("own"), "other")
-    match = one.union(two).where("other < own").select("h1", "h2", "other").distinct()
+    match = one.union(two).where(_earlier("other", "own")).select("h1", "h2", "other").distinct()
     a, b = texts.select("h1", "h2", F.col("text").alias("a")), texts.select(_order().alias("other"), F.col("text").alias("b"))
     match = match.join(a, ["h1", "h2"]).join(b, "other").where(F.levenshtein("a", "b", 1) >= 0)
     return match.groupBy("h1", "h2").agg(F.min("other").alias("near"))
 
 
 def dropped_lines(df: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
-    """(d_doc, drops: array of (line, h1)) of the documents that lose lines; stored.
+    """(d_doc, d_hash, drops: array of (line, h1)) of the documents that lose lines; stored.
 
-    Only hashes and keys of lines are shuffled, not texts; the few candidates' texts come from a second pass over the documents."""
-    lines = stored(_line_rows(df, text, least), "lines")
-    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("n"), F.min("keys").alias("keys")), "distinct-lines")
-    near = stored(near_lines(distinct, df, text), "near-lines").withColumnsRenamed({"h1": "n1", "h2": "n2"})
-    best = distinct.join(near, (distinct["h1"] == near["n1"]) & (distinct["h2"] == near["n2"]), "left").where("n > 1 or near is not null")
-    best = stored(best.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.least("first", F.coalesce("near", "first")).alias("best")), "best")
-    gone = lines.join(best, (lines["h1"] == best["b1"]) & (lines["h2"] == best["b2"])).where(_order() > F.col("best"))
-    return stored(gone.groupBy(F.col("doc_id").alias("d_doc")).agg(F.collect_set(F.struct("line", "h1")).alias("drops")), "dropped")
+    Hashes and keys of lines are shuffled, and the texts once, for the few candidates' lines."""
+    with scratch(df.sparkSession) as keep:
+        lines = stored(_line_rows(df, text, least), "lines")
+        distinct = stored(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("n"), F.min("keys").alias("keys")), "distinct-lines")
+        near = stored(near_lines(distinct, df, text), "near-lines").withColumnsRenamed({"h1": "n1", "h2": "n2"})
+        best = distinct.join(near, (distinct["h1"] == near["n1"]) & (distinct["h2"] == near["n2"]), "left").where("n > 1 or near is not null")
+        best = stored(best.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.least("first", F.coalesce("near", "first")).alias("best")), "best")
+        gone = lines.join(best, (lines["h1"] == best["b1"]) & (lines["h2"] == best["b2"])).withColumn("own", _order()).where(_earlier("best", "own"))
+        return keep(stored(gone.groupBy(F.col("doc_id").alias("d_doc"), F.col("text_hash").alias("d_hash")).agg(F.collect_set(F.struct("line", "h1")).alias("drops")), "dropped"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """Takes the dropped lines out of `text`; adds n_lines (before), n_dropped and dropped (their numbers from 0)."""
-    new = ("n_lines", "n_dropped", "dropped", "drops", "d_doc")
-    kept = [c for c in df.columns if c not in new]
+    new = ("n_lines", "n_dropped", "dropped")
+    other = {c: f"kept_{i}" for i, c in enumerate(df.columns) if c not in (*new, text, "doc_id")}
+    inner = df.select("doc_id", F.col(text).alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in other.items()))
+    back = {"doc_id": "doc_id", text: "text"} | other
+    return _without_lines(inner, least).select(*(F.col(back[c]).alias(c) for c in df.columns if c not in new), *new)
+
+
+def _without_lines(df: DataFrame, least: int) -> DataFrame:
+    text, kept = "text", df.columns
     drops = dropped_lines(df, text, least)
-    joined = df.select(*kept).join(if_small(drops, 64, "drops", 32), F.col("doc_id").eqNullSafe(F.col("d_doc")), "left").select(*kept, "drops")
+    same = F.col("doc_id").eqNullSafe(F.col("d_doc")) & (F.xxhash64(text) == F.col("d_hash"))
+    joined = df.join(dealt(drops), same, "left").select(*kept, "drops")
     names = [*kept, "n_lines", "n_dropped", "dropped"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,14 +15,14 @@ their class. An empty table gives no rows. Columns besides doc_id and the text a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Rolling, components, if_small, mix64, partitions, read, steps, stored, text_buffer, words
+from timberline.llm.common import Rolling, beside, components, dealt, mix64, partitions, read, scratch, steps, stored, text_buffer, words
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -135,7 +135,7 @@ def fingerprints(row: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _features(df: DataFrame, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
@@ -148,15 +148,15 @@ def _features(df: DataFrame, text: str, size: int, bands: int, rows: int) -> Dat
             listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in (0, 1)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), listed], schema=schema)
 
-    source = df.select("doc_id", F.coalesce(F.hash(text), F.lit(0)).alias("text_hash"), text)
-    return source.mapInArrow(run, "doc_id long, text_hash int, f1 long, f2 long, size long, keys array<long>")
+    source = df.select("doc_id", F.xxhash64(text).alias("text_hash"), text)
+    return source.mapInArrow(run, "doc_id long, text_hash long, f1 long, f2 long, size long, keys array<long>")
 
 
 def _multisets(df: DataFrame, wanted: DataFrame, text: str, size: int) -> DataFrame:
     """(c, elements) of the wanted classes (c, doc, text_hash), from a document of each."""
-    w = stored(wanted, "wanted").withColumnsRenamed({"doc": "w_doc", "text_hash": "w_hash"})
-    source = df.select("doc_id", F.coalesce(F.hash(text), F.lit(0)).alias("text_hash"), text)
-    joined = source.join(if_small(w, 40), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))).select("c", text)
+    w = wanted.withColumnsRenamed({"doc": "w_doc", "text_hash": "w_hash"})
+    source = df.select("doc_id", F.xxhash64(text).alias("text_hash"), text)
+    joined = source.join(dealt(w), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))).select("c", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
@@ -168,11 +168,8 @@ def _multisets(df: DataFrame, wanted: DataFrame, text: str, size: int) -> DataFr
     return joined.mapInArrow(run, "c long, elements array<long>").dropDuplicates(["c"])
 
 
-def _verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of stored pairs (a, b) of classes those whose multisets overlap enough."""
-    named = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct()
-    wanted = classes.join(named, classes["c"] == named["x"]).select("c", F.col("at.doc").alias("doc"), F.col("at.text_hash").alias("text_hash"))
-    sets = stored(_multisets(df, wanted, text, size), "multisets")
     left, right = sets.select(F.col("c").alias("ca"), F.col("elements").alias("ea")), sets.select(F.col("c").alias("cb"), F.col("elements").alias("eb"))
     both = pairs.join(left, pairs["a"] == left["ca"]).join(right, F.col("b") == F.col("cb"))
     common = F.size(F.array_intersect("ea", "eb"))
@@ -210,15 +207,15 @@ def least_labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _dense_links(member: DataFrame, df: DataFrame, classes: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
+def _dense_links(member: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that connect what is connected within large buckets (key, c), compared whole."""
     star = member.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("b"))
     group = components(member.join(star, member["key"] == star["k"]).select(F.col("c").alias("a"), "b").where("a <> b"))
-    own = group.join(classes, F.col("id") == F.col("c")).select("c", "component", "size", F.col("at.doc").alias("doc"), F.col("at.text_hash").alias("text_hash"))
+    own = group.join(classes, F.col("id") == F.col("c")).select("c", "component", "size")
     blocks = own.groupBy(F.col("component").alias("g")).agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many"))
     blocks = blocks.select("g", F.greatest("blocks", F.ceil(F.col("many") / 1024).cast("int")).alias("blocks"))
     own = stored(own.join(blocks, F.col("component") == F.col("g")).drop("g"), "dense")
-    sets = stored(_multisets(df, own.select("c", "doc", "text_hash"), text, size).withColumnRenamed("c", "s"), "dense-multisets")
+    sets = sets.withColumnRenamed("c", "s")
     block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     cell = own.select("c", "component", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     cell = cell.select("c", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, F.col("c") == F.col("s")).drop("s")
@@ -242,11 +239,16 @@ def _dense_links(member: DataFrame, df: DataFrame, classes: DataFrame, text: str
         if held:
             yield solve(held)
 
-    return stored(cell.repartition(partitions(df.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long").distinct(), "dense-links")
+    return stored(cell.repartition(partitions(member.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long").distinct(), "dense-links")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, class_id, kept), a row per document: class_id is the least doc_id of its group, kept the one document (and rows that repeat it) that stays."""
+    with scratch(df.sparkSession) as keep:
+        return _near_duplicates(df, text, size, similarity, bands, rows, keep)
+
+
+def _near_duplicates(df: DataFrame, text: str, size: int, similarity: float, bands: int, rows: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     features = stored(_features(df, text, size, bands, rows), "features")
     at = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), "text_hash")
     classes = features.where("size > 0").groupBy("f1", "f2").agg(F.min(at).alias("at"), F.min("size").alias("size"), F.min("keys").alias("keys"))
@@ -255,8 +257,10 @@ def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, simila
     shared = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
     bucket = stored(bucket.join(shared, bucket["key"] == shared["k"]).drop("k"), "buckets")
     close = F.least("size", "l_size") >= similarity * F.greatest("size", "l_size")
-    every = stored(bucket.select("c").distinct(), "bucketed")
-    seen, label = None, every.withColumn("group", F.col("c"))
+    every = stored(bucket.select(F.col("c").alias("x")).distinct(), "bucketed")
+    wanted = classes.join(every, classes["c"] == every["x"]).select("c", F.col("at.doc").alias("doc"), F.col("at.text_hash").alias("text_hash"))
+    sets = stored(_multisets(df, wanted, text, size), "multisets")
+    seen, label = None, every.select(F.col("x").alias("c"), F.col("x").alias("group"))
 
     def merged(new: DataFrame) -> DataFrame:
         """Labels after new links, which are drawn between the components so far."""
@@ -274,7 +278,7 @@ def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, simila
             lead = member.groupBy(F.col("key").alias("k")).agg(lead.alias("l")).select("k", "l.*")
         else:
             if member.where("not small").limit(1).count():
-                label = merged(_dense_links(member.where("not small").select("key", "c"), df, classes, text, size, similarity))
+                label = merged(_dense_links(member.where("not small").select("key", "c"), classes, sets, similarity))
             member = member.where("small")
             lead = member.select(F.col("key").alias("k"), F.col("c").alias("lead"), F.col("size").alias("l_size"), F.col("group").alias("l_group"))
         pair = member.join(lead, member["key"] == F.col("k")).where((F.col("group") != F.col("l_group")) & close)
@@ -285,11 +289,12 @@ def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, simila
         if not pair.limit(1).count():
             continue
         seen = pair if seen is None else seen.union(pair)
-        label = merged(_verified(pair, df, classes, text, size, similarity))
+        label = merged(_verified(pair, sets, similarity))
     grouped = classes.join(label.withColumnRenamed("c", "l"), classes["c"] == F.col("l"), "left").select("f1", "f2", "at", F.coalesce("group", "c").alias("group"))
     grouped = stored(grouped, "grouped")
     least = grouped.groupBy(F.col("group").alias("g")).agg(F.min("at").alias("least"))
     grouped = stored(grouped.join(least, grouped["group"] == least["g"]).select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "least"), "classes-of")
+    features, grouped = keep(features), keep(grouped)
     out = features.join(grouped, (features["f1"] == F.col("c1")) & (features["f2"] == F.col("c2")) & (features["size"] > 0), "left")
     return out.select("doc_id", "text_hash", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc")).alias("class_id"), (F.col("least").isNull() | (at == F.col("least"))).alias("kept"))
 
@@ -300,12 +305,15 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; of rows that repeat it, one."""
-    found = stored(near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
-    gone = stored(found.where("not kept").select(F.col("doc_id").alias("g_doc"), F.col("text_hash").alias("g_hash")).distinct(), "gone")
-    again = stored(found.where("kept").groupBy(F.col("doc_id").alias("a_doc"), F.col("text_hash").alias("a_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-    text_hash = F.coalesce(F.hash("text"), F.lit(0))
-    rest = docs.join(if_small(gone, 24), docs["doc_id"].eqNullSafe(F.col("g_doc")) & (text_hash == F.col("g_hash")), "left_anti")
-    if not again.limit(1).count():
-        return rest
-    same = rest["doc_id"].eqNullSafe(F.col("a_doc")) & (text_hash == F.col("a_hash"))
-    return rest.join(if_small(again, 24), same, "left_anti").union(rest.join(if_small(again, 24), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    with scratch(spark) as keep:
+        found = near_duplicates(docs.select("doc_id", "text")).where("kept").groupBy(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash"))
+        stay = keep(stored(found.agg(F.count("*").alias("again")), "stay"))
+
+    def left(d: DataFrame) -> DataFrame:
+        joined = d.join(dealt(stay), d["doc_id"].eqNullSafe(F.col("k_doc")) & (F.xxhash64("text") == F.col("k_hash")))
+        once = joined.where("again = 1").select(d.columns)
+        if not stay.where("again > 1").limit(1).count():
+            return once
+        return once.union(joined.where("again > 1").select(d.columns).dropDuplicates(["doc_id", "text"]))
+
+    return beside(docs, ("doc_id", "text"), left)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import Rolling, if_small, mix64, partitions, read, steps, stored, text_buffer
+from timberline.llm.common import Rolling, dealt, mix64, partitions, read, scratch, steps, stored, text_buffer
 
 LENGTH, GRAM = 400, 304
 #: Classes of an anchor above which its windows are counted by hash, and strings of a collection.
@@ -61,11 +61,11 @@ def anchor_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tup
 
 
 def _keyed(df: DataFrame, text: str) -> DataFrame:
-    return df.select("doc_id", F.coalesce(F.hash(text), F.lit(0)).alias("text_hash"), text)
+    return df.select("doc_id", F.xxhash64(text).alias("text_hash"), text)
 
 
-RUN = pa.schema([("g", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int32())])
-RUN_SQL = "g long, h1 long, h2 long, doc_id long, text_hash int, first int, last int, anchor int"
+RUN = pa.schema([("g", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int32())])
+RUN_SQL = "g long, h1 long, h2 long, doc_id long, text_hash long, first int, last int, anchor int"
 
 
 def _grams(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _strings(df: DataFrame, edge: DataFrame, text: str, length: int, gram: int)
     """What stands before and after the anchor in each class of `edge`, from a text that has it."""
     item = F.struct("g", "h1", "h2", "n", "classes", F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.col("at.anchor").alias("anchor"))
     lists = stored(edge.groupBy(F.col("at.doc").alias("e_doc"), F.col("at.text_hash").alias("e_hash")).agg(F.collect_list(item).alias("items")), "edges-by-text")
-    joined = _keyed(df, text).join(if_small(lists, 64, "items", 80), F.col("doc_id").eqNullSafe(F.col("e_doc")) & (F.col("text_hash") == F.col("e_hash"))).select(text, "items")
+    joined = _keyed(df, text).join(dealt(lists), F.col("doc_id").eqNullSafe(F.col("e_doc")) & (F.col("text_hash") == F.col("e_hash"))).select(text, "items")
     kinds = pa.schema([*((k, pa.int64()) for k in ("g", "h1", "h2", "n", "classes")), ("before", pa.binary()), ("after", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +234,13 @@ def _by_counts(strings: DataFrame, wide: int) -> DataFrame:
 def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(r_doc, r_hash, spans: array of (start, stop)) of the texts that hold repeated windows; stored.
 
-    Shuffled are hashes of anchors (combined first), then rows of anchors, joined with those that repeat; texts only where a list of spans is not small enough to broadcast.
-    What grows with the anchors is never broadcast by us, so the plan is the same at every size."""
+    Shuffled are hashes of anchors (combined first), then rows of anchors, joined with those that repeat, and the texts once, for what stands around anchors of mixed classes.
+    Nothing is broadcast, so the plan is the same at every size."""
+    with scratch(df.sparkSession) as keep:
+        return keep(_repeated_spans(df, text, length, gram, hot))
+
+
+def _repeated_spans(df: DataFrame, text: str, length: int, gram: int, hot: int) -> DataFrame:
     wide = length - gram + 1
     again = stored(_grams(df, text, length, gram).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("k")), "anchors")
     hits = _runs(df, text, length, gram)
@@ -275,16 +280,23 @@ def _merged(spans: DataFrame) -> DataFrame:
             runs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(low), pa.array(high)], fields=list(kind.value_type)))
             yield pa.RecordBatch.from_arrays([batch.column("r_doc"), batch.column("r_hash"), runs], names=["r_doc", "r_hash", "spans"])
 
-    return spans.mapInArrow(run, "r_doc long, r_hash int, spans array<struct<start:int,stop:int>>")
+    return spans.mapInArrow(run, "r_doc long, r_hash long, spans array<struct<start:int,stop:int>>")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Replaces `text` by kept (binary: the remaining bytes), n_bytes (before), and removed: maximal runs (start, stop) of removed bytes."""
-    new = ("n_bytes", "removed", "kept", "spans", "r_doc", "r_hash", "text_hash")
-    rest = [c for c in df.columns if c not in (*new, text)]
+    new = ("n_bytes", "removed", "kept")
+    other = {c: f"kept_{i}" for i, c in enumerate(df.columns) if c not in (*new, text, "doc_id")}
+    inner = df.select("doc_id", F.col(text).alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in other.items()))
+    out = _without_repeats(inner, length, gram, hot)
+    return out.select(*(F.col(other.get(c, c)).alias(c) for c in df.columns if c not in (*new, text)), *new)
+
+
+def _without_repeats(df: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    text, rest = "text", [c for c in df.columns if c != "text"]
     spans = repeated_spans(df.select("doc_id", text), text, length, gram, hot)
-    joined = df.select(*rest, text, F.coalesce(F.hash(text), F.lit(0)).alias("text_hash"))
-    joined = joined.join(if_small(spans, 64, "spans", 24), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_hash") == F.col("r_hash")), "left").select(*rest, text, "spans")
+    joined = df.select(*rest, text, F.xxhash64(text).alias("text_hash"))
+    joined = joined.join(dealt(spans), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_hash") == F.col("r_hash")), "left").select(*rest, text, "spans")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
