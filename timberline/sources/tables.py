@@ -11,9 +11,11 @@ _own: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
+    """spark.checkpoint.dir, or a folder of our own where that is unset and all run on this machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise TreesError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = id(spark.sparkContext)
     if key not in _own:
         _own[key] = tempfile.mkdtemp(prefix="timberline-")
