@@ -22,11 +22,11 @@ def brute(texts, length):
     return out
 
 
-def test_transform_is_sorted(tmp_path):
+def test_transform_is_sorted():
     r = random.Random(1)
     for _ in range(30):
         strings = ["".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(r.randint(1, 12))]
-        owner, size, common = collection_rows(strings, tmp_path)
+        owner, size, common = collection_rows(strings)
         want = sorted((s[len(s) - k :], i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
         assert [(o, k) for o, k in zip(owner, size)] == [(i, k) for _, i, k in sorted(want, key=lambda x: (x[0], x[1]))] or all(
             strings[a][len(strings[a]) - i :] <= strings[b][len(strings[b]) - j :] for a, i, b, j in zip(owner, size, owner[1:], size[1:])
@@ -58,6 +58,20 @@ def test_by_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute(texts, 20)
 
 
+def test_long_texts_and_clashing_names(spark):
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long), (2, long[100_000:100_450] + "x" * 50), (2, "y" + long[250_000:250_399]), (None, "ab" * 3000), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("spans", "r_doc", "r_hash", "text_hash", "kept_0", "removed"):
+        df = df.withColumn(c, F.lit(c))
+    out = remove_repeats(df)
+    assert out.columns == ["doc_id", "spans", "r_doc", "r_hash", "text_hash", "kept_0", "n_bytes", "removed", "kept"]
+    got = sorted(((x.n_bytes, sum(y.stop - y.start for y in x.removed), len(x.removed), bytes(x.kept)) for x in out.collect()), key=str)
+    assert got == sorted(brute([t for _, t in rows], 400), key=str)
+    assert all(x[c] == c for x in out.collect() for c in ("spans", "r_doc", "r_hash", "text_hash", "kept_0"))
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -6,8 +6,8 @@ A byte goes if it lies in a string of `length` bytes (a window) that also starts
    equal anchors at equal offsets. Consecutive windows with one anchor form a run, whose bytes (its span) are held as a 128-bit hash.
 2. Anchors that occur once have no repeated window. Of the others, a span that occurs twice is repeated as a whole. So equal spans are one class with a count.
 3. What is left are anchors with several classes, some of which occur once: the ends of repeats. Their spans form collections, whole anchors together, the
-   anchor's bytes as one symbol. A collection's transform grows by one symbol of each string a round, from the right; each round reads the transform, common prefixes and
-   row owners of the last one from files in sequence and writes the next. Rows that share `length - gram + 1` symbols from one anchor are equal windows.
+   anchor's bytes as one symbol. A collection's transform grows by one symbol of each string a round, from the right; each round reads the columns of transform, common prefixes and
+   row owners of the last one in sequence and writes the next. As collections are bounded, the columns are held in memory: executors have no folder of their own to rely on. Rows that share `length - gram + 1` symbols from one anchor are equal windows.
 4. Anchors with more than HOT classes are not put in one collection: their windows are hashed (128 bits) and counted by an aggregate that combines before the shuffle.
 
 Rows: a null text counts as empty; texts under `length` bytes lose nothing; very long texts count whole; repeated rows repeat each other's strings, even with
@@ -15,9 +15,7 @@ the same or a null doc_id. An empty table gives no rows. Other columns pass thro
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -91,27 +89,31 @@ def _runs(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     return _keyed(df, text).mapInArrow(run, RUN_SQL)
 
 
-def collection_rows(strings: list[bytes], folder: Path) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged_in(old: np.ndarray, new: np.ndarray, kept: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """One sequential pass: the old column with new values at their places."""
+    out = np.empty(len(kept), old.dtype)
+    out[kept] = old
+    out[to] = new
+    return out
+
+
+def collection_rows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, suffix length and common prefix with the row before, of all suffixes of the strings in order.
 
     Round j inserts each string's suffix of j symbols. The symbol c before the suffix of the last round, at row p, gives its place: rows of the ends, then as many as there are smaller
-    symbols in the transform, then the c's before p. Its common prefix with its neighbours there is one more than the least between p and the c before, and the c after."""
+    symbols in the transform, then the c's before p. Its common prefix with its neighbours there is one more than the least between p and the c before, and the c after.
+    The columns (transform, common prefixes, owners, lengths) are read and written anew in sequence each round; seven bytes a symbol of the collection are held."""
     m, sizes = len(strings), np.array([len(s) for s in strings])
     flat = np.frombuffer(b"".join(strings), np.uint8)
     end = np.cumsum(sizes)
     final = lambda who, j: np.where(sizes[who] > j, flat[np.maximum(end[who] - 1 - j, 0)], END).astype(np.uint8)
-    names = {"transform": np.uint8, "common": np.uint16, "owner": np.uint16, "size": np.uint16}
-    put = lambda j, arrays: [x.astype(names[k], copy=False).tofile(folder / f"{k}{j % 2}") for k, x in arrays.items()]
-    get = lambda j, k: np.fromfile(folder / f"{k}{j % 2}", names[k])
     everyone = np.arange(m)
-    put(0, {"transform": final(everyone, 0), "common": np.zeros(m), "owner": everyone, "size": np.zeros(m)})
+    transform, common, owner, size = final(everyone, 0), np.zeros(m, np.uint16), everyone.astype(np.uint16), np.zeros(m, np.uint16)
     place = everyone.copy()  # row of each string's latest suffix
-    most = int(sizes.max(initial=0))
-    for j in range(1, most + 1):
+    for j in range(1, int(sizes.max(initial=0)) + 1):
         who = np.flatnonzero(sizes >= j)
         who = who[np.argsort(place[who])]
         p = place[who]
-        transform, common = get(j - 1, "transform"), np.append(get(j - 1, "common"), 0)
         n = len(transform)
         order = np.argsort(transform, kind="stable")
         rank = np.empty(n, np.int64)
@@ -119,33 +121,28 @@ def collection_rows(strings: list[bytes], folder: Path) -> tuple[np.ndarray, np.
         r, c = rank[p], transform[p]
         before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
         has_before, has_after = (r > 0) & (transform[before] == c), (r + 1 < n) & (transform[after] == c)
+        shared = np.append(common, 0)
 
         def between(low, high, has):
             out = np.zeros(len(low), np.int64)
             if has.any():
-                out[has] = np.minimum.reduceat(common, np.stack([low[has] + 1, high[has] + 1], axis=1).ravel())[::2] + 1
+                out[has] = np.minimum.reduceat(shared, np.stack([low[has] + 1, high[has] + 1], axis=1).ravel())[::2] + 1
             return out
 
         with_before, with_after = between(before, p, has_before), between(p, after, has_after)
         to = m + r
-        old = np.ones(n + len(who), bool)
-        old[to] = False
-        new = {}
-        for name, values in (("transform", final(who, j)), ("common", with_before), ("owner", who), ("size", np.full(len(who), j))):
-            x = np.empty(n + len(who), names[name])
-            x[old] = transform if name == "transform" else common[:-1] if name == "common" else get(j - 1, name)
-            x[to] = values
-            new[name] = x
-        new["common"][to[has_after] + 1] = with_after[has_after]
-        put(j, new)
+        kept = np.ones(n + len(who), bool)
+        kept[to] = False
+        transform, common = merged_in(transform, final(who, j), kept, to), merged_in(common, with_before, kept, to)
+        owner, size = merged_in(owner, who, kept, to), merged_in(size, j, kept, to)
+        common[to[has_after] + 1] = with_after[has_after]
         place[who] = to
-    return get(most, "owner").astype(np.int64), get(most, "size").astype(np.int64), get(most, "common").astype(np.int64)
+    return owner.astype(np.int64), size.astype(np.int64), common.astype(np.int64)
 
 
 def equal_windows(strings: list[bytes], left: np.ndarray, group: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
     """String and offset of each window (a suffix that starts at or before the anchor) that another one of its group equals."""
-    with tempfile.TemporaryDirectory() as folder:
-        owner, size, common = collection_rows(strings, Path(folder))
+    owner, size, common = collection_rows(strings)
     offset = np.array([len(s) for s in strings])[owner] - size
     run = np.cumsum(common < wide)
     ok = (size >= wide) & (offset <= left[owner])
@@ -320,6 +317,26 @@ def _without_repeats(df: DataFrame, length: int, gram: int, hot: int) -> DataFra
     return joined.mapInArrow(run, schema)
 
 
+#: Every window by its digest.
+ORACLE_SQL = r"""
+with t as (select row_number() over () as rid, doc_id, encode(coalesce(text, '')) as body from documents),
+h as (select rid, doc_id, octet_length(body) as n, hex(body) as x from t),
+w as (select rid, x, unnest(range(0, n - 399)) as i from h where n >= 400),
+k as (select rid, i, md5_number(substr(x, 2 * i + 1, 800)) as m from w),
+twice as (select rid, i from k where m in (select m from k group by m having count(*) > 1)),
+marked as (select rid, i, case when i <= lag(i) over (partition by rid order by i) + 400 then 0 else 1 end as new from twice),
+numbered as (select rid, i, sum(new) over (partition by rid order by i) as run from marked),
+runs as (select rid, run, min(i) as low, max(i) + 400 as high from numbered group by rid, run),
+pieces as (
+  select rid, lag(high, 1, 0) over (partition by rid order by low) as a, low as b from runs
+  union all select r.rid, max(r.high), any_value(h.n) from runs r join h on r.rid = h.rid group by r.rid),
+kept as (select p.rid, string_agg(substr(h.x, 2 * p.a + 1, 2 * (p.b - p.a)), '' order by p.a) as x from pieces p join h on p.rid = h.rid group by p.rid),
+removed as (select rid, sum(high - low) as n_removed, count(*) as n_spans from runs group by rid)
+select h.doc_id, cast(h.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept.x, h.x))) as kept_sha256
+from h left join removed on h.rid = removed.rid left join kept on h.rid = kept.rid
+"""
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
