@@ -79,3 +79,15 @@ def test_short_lines_by_brute_force(spark):
     r = random.Random(8)
     rows = [(d, "\n".join("".join(r.choice("abcdefghijklmnopqé") for _ in range(r.choice([0, 1, 2, 3, 5, 8, 12]))) for _ in range(r.randint(0, 5)))) for d in range(60)]
     check(spark, rows + [(d + 100, t) for d, t in rows[::3]], LEAST)
+
+
+def test_null_ids_and_clashing_names(spark):
+    """Rows without an id keep apart by their texts; columns of any name pass through."""
+    rows = [(None, f"line number {i % 3} of some length\nown {i} {'abcdefgh'[i % 8] * 9} line") for i in range(40)] + [(4, "line number 1 of some length"), (4, "other text\nline number 2 of some length")]
+    check(spark, rows, LEAST)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("drops", "d_doc", "d_hash", "text_hash", "kept_0"):
+        df = df.withColumn(c, F.lit(c))
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped", "dropped"]
+    assert all(r[c] == c for r in out.collect() for c in ("drops", "d_doc", "d_hash", "text_hash", "kept_0"))

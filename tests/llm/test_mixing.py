@@ -54,3 +54,14 @@ def test_odd_rows(spark):
     assert stage_mixing(spark, df, "").columns == df.columns
     empty = df.limit(0)
     assert mix(empty, mix_plan(empty.select("doc_id", "source", word_count().alias("size")))).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(i, "a b c d e f"[: 2 * (i % 6) + 1], f"s{i % 3}") for i in range(90)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = plain
+    for c in ("_u", "_s", "_target", "__s", "copies"):
+        df = df.withColumn(c, F.lit("clash"))
+    plan = mix_plan(plain.select("doc_id", "source", word_count().alias("size")))
+    both = [{r.doc_id: r.taken for r in mix(x, plan).collect()} for x in (plain, df)]
+    assert both[0] == both[1] and {r._u for r in mix(df, plan).collect()} == {"clash"}

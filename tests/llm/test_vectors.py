@@ -54,3 +54,30 @@ def test_lists_reach_the_recall():
     for n in (10, 10_000, 10_000_000):
         bits, lists, _ = plan_lists(n, 0.95)
         assert 2**bits <= max(16, n) and 2 <= lists < 400
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_is_measured(spark, n):
+    """Planted pairs at and just above the threshold, where the analytic bound on misses is worst."""
+    r = np.random.default_rng(n)
+    base = r.normal(size=(n, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = r.normal(size=(n // 3, 32))
+    other -= (other * base[: n // 3]).sum(axis=1, keepdims=True) * base[: n // 3]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = np.where(np.arange(n // 3) % 2, 0.9502, r.uniform(0.93, 0.97, n // 3))[:, None]
+    x = np.concatenate([base, cosine * base[: n // 3] + np.sqrt(1 - cosine**2) * other])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {v.vec_id: v.n_links for v in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found, all_ = sum(got.values()), int(want.sum())
+    assert all(got[i] <= want[i] for i in got) and all_ > n // 3 and found >= 0.998 * all_
+
+
+def test_long_vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(6, 20000))
+    x[1], x[3] = x[0] * 3 + 0.01, -x[2]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)

@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from timberline.llm.warc import located, op6_warc, read_warc, record, records, write_warc
+from timberline.llm.warc import member, op6_warc, read_warc, record, records, write_warc
 
 
 def expected(rows):
@@ -29,18 +29,38 @@ def test_query(spark):
     assert sorted(map(tuple, op6_warc(spark, d).collect()), key=str) == expected(rows)
 
 
-def test_odd_rows(spark):
+def test_odd_rows(spark, tmp_path):
     rows = [(5, "http://a b\n/ü", "same"), (2, None, "same"), (2, None, "same"), (9, "u", None), (7, "u", ""), (None, "u", "same"), (None, "v", "alone"), (11, "w", "x\r\n\r\n" * 100000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
-    files = write_warc(df)
-    back = read_warc(files).collect()
+    folder = write_warc(df, folder=str(tmp_path / "archives"))
+    back = read_warc(spark, folder).collect()
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back], key=str) == expected([(r[0], r[2]) for r in rows])
     assert {bytes(r.payload) for r in back if r.record_type == "response"} == {b"same", b"", b"alone", b"x\r\n\r\n" * 100000}
-    for f in files.collect():  # one member per record
-        place, at = located(f.path)
-        data = place.open_input_stream(at, compression=None).read()
-        assert gzip.decompress(data).count(b"WARC/1.1\r\n") == f.records
-    assert read_warc(write_warc(df.limit(0))).count() == 0
+    n = 0
+    for f in (tmp_path / "archives").glob("part-*"):  # one member per record
+        data = f.read_bytes()
+        n += gzip.decompress(data).count(b"WARC/1.1\r\n")
+        assert data.count(b"\x1f\x8b\x08") >= gzip.decompress(data).count(b"WARC/1.1\r\n")
+    assert n == len(rows)
+    assert read_warc(spark, write_warc(df.limit(0))).count() == 0
+
+
+def test_revisits_and_hot_payloads(spark):
+    """A third of all pages have one payload; there are pairs, empty and null ones."""
+    rows = [(i, f"http://h/{i}", "hot page " * 50 if i % 3 == 0 else f"page {i // 4}" if i % 3 == 1 else f"own {i}" if i % 7 else [None, ""][i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    back = read_warc(spark, write_warc(df)).collect()
+    got = sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back], key=str)
+    assert got == expected([(r[0], r[2]) for r in rows]) and sum(r.record_type == "revisit" for r in back) > 200
+    body = {r.payload_digest: bytes(r.payload) for r in back if r.payload is not None}
+    assert all(body[r.payload_digest].decode() == (rows[r.page_id][2] or "") for r in back)
+
+
+def test_large_records_are_followed_by_an_empty_member():
+    big = record(1, "http://x/", b"ab" * (9 << 20), None)
+    data = member(big) + member(record(2, "http://y/", b"small", None)) + member(big)
+    assert member(big)[-1] == 0 and gzip.decompress(data).count(b"WARC/1.1") == 3
+    assert [(r["page_id"], len(r["payload"])) for r in records(io.BytesIO(data), True)] == [(1, 18 << 20), (2, 5), (1, 18 << 20)]
 
 
 def test_damage_is_found():

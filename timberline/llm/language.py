@@ -3,6 +3,8 @@
 One-versus-one linear support vector machines first choose the language family, then, within it, the language. All machines work on
 hashed counts of byte n-grams (1 to 3) of the lower-cased letters of the whole text.
 
+The sample is bounded by parameters of fit_language_model; pairs are trained in parallel tasks, and the driver holds the sample and the machines, neither of which grows with the rows.
+
 Rows: a null text, or one without any letter, is `und` with score 0. Very long texts count whole. Repeated rows give repeated
 results; an empty table or one without labels trains nothing and predicts `und`. Columns named lang_pred or score are replaced."""
 
@@ -86,14 +88,9 @@ class Choice:
     weights: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray) -> Choice:
-        names = sorted(set(y))
+    def of(names: list[str], machines: dict[tuple[str, str], np.ndarray]) -> Choice:
         pairs = list(combinations(range(len(names)), 2))
-        weights = []
-        for a, b in pairs:
-            own = (y == names[a]) | (y == names[b])
-            weights.append(train_svm(x[own], np.where(y[own] == names[a], 1.0, -1.0)))
-        return Choice(names, pairs, np.array(weights, np.float32).reshape(len(pairs), x.shape[1] + 1))
+        return Choice(names, pairs, np.array([machines[names[a], names[b]] for a, b in pairs], np.float32).reshape(len(pairs), WIDTH + 1))
 
     def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the chosen name and a score from 0 to 1: the mean logistic of its pairwise margins."""
@@ -138,18 +135,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit_language_model(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 300, most_rows: int = 4000) -> LanguageModel:
-    """Learns from a bounded sample: `per_language` rows of each language (fewer if that would be over `most_rows` in all), those with the
-    least hash of their id. Counts by language first give the share to draw, so nothing is sorted or gathered beyond the sample."""
+def fit_language_model(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 300, most_rows: int = 4000, most_languages: int = 64) -> LanguageModel:
+    """Learns from a bounded sample: of the `most_languages` most frequent labels, `per_language` rows each (fewer if that would be over `most_rows` in all), those with the
+    least hash of their id. Counts by language first give the share to draw, so nothing is sorted or gathered beyond the sample. Each pair's machine is trained in a task of its own."""
     learn = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(doc_id)).alias("draw"))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return LanguageModel(None, {})
     each = max(1, min(per_language, most_rows // len(counts)))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 1.3 * each / n))).otherwise(share)
-    drawn = learn.where((F.col("draw") / F.lit(2.0**64) + F.lit(0.5)) < share)
+    shares = df.sparkSession.createDataFrame([(k, min(1.0, 1.3 * each / n)) for k, n in counts.items()], "known string, share double")
+    drawn = learn.join(F.broadcast(shares), F.col("lang") == F.col("known")).where((F.col("draw") / F.lit(2.0**64) + F.lit(0.5)) < F.col("share")).select("lang", "text", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,10 +157,32 @@ def fit_language_model(df: DataFrame, text: str = "text", lang: str = "lang", do
     kept = [r for r in rows if taken.setdefault(r[0], 0) < each and not taken.update({r[0]: taken[r[0]] + 1})]
     if not kept:
         return LanguageModel(None, {})
-    x = np.array([np.frombuffer(r[2], np.float16) for r in kept]).astype(np.float32)
-    y = np.array([r[0] for r in kept], object)
+    return _trained(df.sparkSession, np.array([np.frombuffer(r[2], np.float16) for r in kept]), np.array([r[0] for r in kept], object))
+
+
+def _trained(spark: SparkSession, x: np.ndarray, y: np.ndarray) -> LanguageModel:
+    """All pairs' machines from the sample (half floats), between families and within each."""
     group = np.array([family(v) for v in y], object)
-    return LanguageModel(Choice.fit(x, group), {f: Choice.fit(x[group == f], y[group == f]) for f in set(group)})
+    names = {"": sorted(set(group))} | {f: sorted(set(y[group == f])) for f in set(group)}
+    pairs = [(k, a, b) for k, own in sorted(names.items()) for a, b in combinations(own, 2)]
+    machines: dict[str, dict[tuple[str, str], np.ndarray]] = {k: {} for k in names}
+    if pairs:
+        shared = spark.sparkContext.broadcast((x, y, group))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, y, group = shared.value
+            for batch in batches:
+                for r in batch.to_pylist():
+                    label = group if r["within"] == "" else y
+                    own = (label == r["a"]) | (label == r["b"])
+                    w = train_svm(x[own].astype(np.float32), np.where(label[own] == r["a"], 1.0, -1.0))
+                    yield pa.RecordBatch.from_pylist([r | {"w": w.tobytes()}], schema=pa.schema([("within", pa.string()), ("a", pa.string()), ("b", pa.string()), ("w", pa.binary())]))
+
+        todo = spark.createDataFrame(pairs, "within string, a string, b string").repartition(len(pairs))
+        for r in todo.mapInArrow(run, "within string, a string, b string, w binary").collect():
+            machines[r["within"]][r["a"], r["b"]] = np.frombuffer(r["w"], np.float32)
+    choices = {k: Choice.of(own, machines[k]) for k, own in names.items()}
+    return LanguageModel(choices.pop(""), choices)
 
 
 def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:

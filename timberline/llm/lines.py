@@ -229,6 +229,34 @@ def _without_lines(df: DataFrame, least: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+#: Pairs of distinct lines that share one half, compared character by character.
+ORACLE_SQL = r"""
+with t as (select row_number() over () as rid, doc_id, text from documents),
+split as (select rid, doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from t where text is not null),
+line as (select * from split where regexp_matches(l, '[^\x20\x09-\x0D]') or length(l) >= 40),
+u as (select l, length(l) as n, min({'last': doc_id is null, 'doc': coalesce(doc_id, 0), 'line': k}) as first from line group by l),
+low as (
+  select l, n as m, 'prefix' as side, left(l, n // 2) as key from u union all select l, n, 'suffix', right(l, n - n // 2) from u),
+high as (
+  select l, m, 'prefix' as side, left(l, m // 2) as key from (select l, unnest([n, n - 1]) as m from u)
+  union all select l, m, 'suffix', right(l, m - m // 2) from (select l, unnest([n, n - 1]) as m from u)),
+pair as (select distinct low.l as a, high.l as b, low.m from low join high on low.m = high.m and low.side = high.side and low.key = high.key where low.l <> high.l),
+differ as (select a, b, m, list_position(list_transform(range(1, m + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)), true) as p from pair),
+near as (
+  select a, b from differ
+  where p is null or (length(b) = m and substr(a, p + 1) = substr(b, p + 1)) or (length(b) = m + 1 and substr(a, p) = substr(b, p + 1))),
+both_ways as (select a as l, b as other from near union all select b, a from near union all select l, l from u),
+best as (select w.l, min(u.first) as best from both_ways w join u on w.other = u.l group by w.l),
+gone as (select line.rid, line.k from line join best on line.l = best.l where {'last': line.doc_id is null, 'doc': coalesce(line.doc_id, 0), 'line': line.k} > best.best),
+drops as (select rid, count(*) as n, string_agg(cast(k as varchar), ',' order by k) as dropped from gone group by rid),
+kept as (
+  select s.rid, count(*) as n_lines, string_agg(s.l, chr(10) order by s.k) filter (g.rid is null) as body
+  from split s left join gone g on s.rid = g.rid and s.k = g.k group by s.rid)
+select t.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(d.n, 0) as bigint) as n_dropped, coalesce(d.dropped, '') as dropped, sha256(coalesce(body, '')) as kept_sha256
+from t left join kept on t.rid = kept.rid left join drops d on t.rid = d.rid
+"""
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

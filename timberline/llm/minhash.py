@@ -299,6 +299,21 @@ def _near_duplicates(df: DataFrame, text: str, size: int, similarity: float, ban
     return out.select("doc_id", "text_hash", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc")).alias("class_id"), (F.col("least").isNull() | (at == F.col("least"))).alias("kept"))
 
 
+#: All pairs of shingle multisets by brute force.
+ORACLE_SQL = r"""
+with recursive t as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select rid, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as x from t where len(w) > 0),
+e as (select rid, md5_number(x) as x, row_number() over (partition by rid, x) as copy from s),
+n as (select rid, count(*) as n from e group by rid),
+c as (select a.rid as a, b.rid as b, count(*) as common from e a join e b on a.x = b.x and a.copy = b.copy and a.rid < b.rid group by a.rid, b.rid),
+link as (select c.a, c.b from c join n na on c.a = na.rid join n nb on c.b = nb.rid where common >= 0.8e0 * (na.n + nb.n - common)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select rid as id, rid as other from t union select r.id, e.b from reach r join edge e on r.other = e.a),
+least as (select r.id, min(t.doc_id) as class_id from reach r join t on r.other = t.rid group by r.id)
+select t.doc_id, l.class_id, t.doc_id is not distinct from l.class_id as kept from t join least l on t.rid = l.id
+"""
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 

@@ -95,16 +95,20 @@ def mix(df: DataFrame, plan: DataFrame, size: Column | None = None) -> DataFrame
     """Adds size, source_size, target, copies and taken (copies times size). The plan has one row per source; Spark broadcasts it where its stored size allows."""
     new = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in df.columns if c not in new]
-    r = df.withColumn("size", word_count() if size is None else size).select(*kept, "size").withColumn("_u", uniform())
-    r = r.join(plan.withColumnsRenamed({c: f"_{c}" for c in plan.columns}), F.col("source").eqNullSafe(F.col("_s")))
-    large = F.col("size") * 64 > F.col("_source_size")
-    in_big = rank(F.col("_u"), F.col("_big_p")) <= F.col("_big_cut")
-    x = rank(F.col("_u"), F.col("_small_p"))
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    at = lambda c: F.col(mark + c)
+    r = df.withColumn("size", word_count() if size is None else size).select(*kept, "size").withColumn(f"{mark}u", uniform())
+    r = r.join(plan.withColumnsRenamed({c: mark + c for c in plan.columns}), F.col("source").eqNullSafe(at("s")))
+    large = F.col("size") * 64 > at("source_size")
+    in_big = rank(at("u"), at("big_p")) <= at("big_cut")
+    x = rank(at("u"), at("small_p"))
     c = rank_class(x)
-    in_small = (c < F.col("_small_edge")) | ((c == F.col("_small_edge")) & F.coalesce(x <= F.col("_small_cut"), F.lit(False))) | (F.col("_small_p") >= 1)
+    in_small = (c < at("small_edge")) | ((c == at("small_edge")) & F.coalesce(x <= at("small_cut"), F.lit(False))) | (at("small_p") >= 1)
     drawn = F.coalesce(F.when(large, in_big).otherwise(in_small), F.lit(False))
-    copies = (F.col("_whole") + F.when(drawn, 1).otherwise(0)).cast("long")
-    return r.select(*kept, "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    copies = (at("whole") + F.when(drawn, 1).otherwise(0)).cast("long")
+    return r.select(*kept, "size", at("source_size").alias("source_size"), at("target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 ORACLE_SQL = r"""

@@ -1,9 +1,12 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Per document, counts of words, symbols, repeated lines and repeated three-word windows. Of the documents that pass the fixed base rules, the rates of these are held in
-quantile sketches per language and source: counts by logarithmic bucket, so each bucket is off by 1 % at most and two sketches merge by adding counts.
-Thresholds are fences around the quartiles (three times their distance), never tighter than fixed floors; a group of fewer than 100 documents takes the merged sketch of its
-language, and a language of fewer than 100 that of all. The thresholds are then joined to the documents.
+Per document, counts of words, symbols, repeated lines and repeated three-word windows. Of the documents that pass the fixed base rules, four rates are held in quantile sketches per
+language and source: counts by logarithmic bucket, so each bucket is off by 1 % at most and two sketches merge by adding counts. Rates are smoothed by adding one to what is counted, as most are zero
+otherwise: symbols to words, and odds of repeated lines and words to the others; and the mean length of words.
+
+A threshold is a fence on the logarithmic scale: the upper quartile times a power of the ratio of the quartiles (for word length also the lower one over it). Nothing is a fixed cutoff: the parameters
+FENCES are that power, and the least ratio that counts, without which a group of alike documents would have no width at all. A group of fewer than `least` documents takes the merged sketch of its language,
+and a language of fewer that of all. The thresholds are then joined to the documents.
 
 Rows: a null text has no words and fails the base rules; a null language or source is a value of its own. Very long texts count whole. Repeated rows are judged alike.
 An empty table gives no rows. Count columns of the input with the same names are replaced."""
@@ -14,13 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from timberline.llm.common import Rolling, mix64, read, steps, stored, text_buffer, words
+from timberline.llm.common import Rolling, mix64, read, scratch, steps, stored, text_buffer, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Documents that a group needs for thresholds of its own.
-LEAST = 100
+#: Documents that a group needs for thresholds of its own, and the ratio of a sketch's buckets.
+LEAST, RATIO = 100, 1.02
+#: By rate: the power of the quartiles' ratio that a fence is away from its quartile, and the least ratio that counts.
+FENCES = {"symbols": (2, 2.0), "dup_lines": (2, 2.0), "repeats": (3, 2.0), "word_length": (4, 1.08)}
 
 
 def repeated(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,81 +89,72 @@ def quality_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*rest, text).mapInArrow(run, schema)
 
 
-#: From counts with (doc_id, lang, source), in SQL that Spark and others run alike. Buckets have a ratio of 1.02; -100000 holds zeros.
-SKETCH_SQL = """
-judged as (
-  select doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-         n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
-  from counts),
-rates as (
-  select lang, source, 1.0e0 * n_symbols / n_words as symbols, 1.0e0 * n_dup_lines / n_lines as dup_lines,
-         1.0e0 * n_repeat_words / n_words as repeats, 1.0e0 * word_chars / n_words as word_length
-  from judged where not base_failed),
-long_rates as (
-  select lang, source, 'symbols' as metric, symbols as x from rates
-  union all select lang, source, 'dup_lines' as metric, dup_lines as x from rates
-  union all select lang, source, 'repeats' as metric, repeats as x from rates
-  union all select lang, source, 'word_length' as metric, word_length as x from rates),
-sketch as (
-  select lang, source, metric, case when x > 0 then cast(ceil(ln(x) / ln(1.02e0)) as int) else -100000 end as bucket, count(*) as n
-  from long_rates group by 1, 2, 3, 4),
-merged as (
-  select 2 as depth, lang, source, metric, bucket, n from sketch
-  union all select 1 as depth, lang, cast(null as varchar(99)) as source, metric, bucket, sum(n) as n from sketch group by lang, metric, bucket
-  union all select 0 as depth, cast(null as varchar(99)) as lang, cast(null as varchar(99)) as source, metric, bucket, sum(n) as n from sketch group by metric, bucket),
-running as (
-  select depth, lang, source, metric, bucket, sum(n) over (partition by depth, lang, source, metric order by bucket) as upto,
-         sum(n) over (partition by depth, lang, source, metric) as total
-  from merged),
-quartiles as (
-  select depth, lang, source, metric, max(total) as total, min(case when upto >= 0.25e0 * total then bucket end) as b1, min(case when upto >= 0.75e0 * total then bucket end) as b3
-  from running group by depth, lang, source, metric),
-values_ as (
-  select depth, lang, source, metric, total, case when b1 = -100000 then 0.0e0 else 2 * power(1.02e0, b1) / 2.02e0 end as q1,
-         case when b3 = -100000 then 0.0e0 else 2 * power(1.02e0, b3) / 2.02e0 end as q3
-  from quartiles),
-fences as (
-  select depth, lang, source, max(total) as total,
-         max(case when metric = 'symbols' then greatest(0.1e0, q3 + 3 * (q3 - q1)) end) as most_symbols,
-         max(case when metric = 'dup_lines' then greatest(0.6e0, q3 + 3 * (q3 - q1)) end) as most_dup_lines,
-         max(case when metric = 'repeats' then greatest(0.3e0, q3 + 3 * (q3 - q1)) end) as most_repeats,
-         max(case when metric = 'word_length' then q3 + greatest(2.0e0, 3 * (q3 - q1)) end) as most_length,
-         max(case when metric = 'word_length' then q1 - greatest(2.0e0, 3 * (q3 - q1)) end) as least_length
-  from values_ group by depth, lang, source),
-chosen as (
-  select a.lang as glang, a.source as gsource, coalesce(case when a.total >= {least} then 2 end, case when b.total >= {least} then 1 end, 0) as depth
-  from (select lang, source, total from fences where depth = 2) a join (select lang, total from fences where depth = 1) b on a.lang is not distinct from b.lang),
-limits as (
-  select c.glang, c.gsource, c.depth, f.most_symbols, f.most_dup_lines, f.most_repeats, f.most_length, f.least_length
-  from chosen c join fences f on c.depth = f.depth and (case when c.depth > 0 then c.glang end) is not distinct from f.lang and (case when c.depth > 1 then c.gsource end) is not distinct from f.source)
-"""
+def rates() -> dict[str, Column]:
+    """What is judged, from the counts; none is ever zero for a document with words."""
+    ratio = lambda a, b: (F.col(a) + F.lit(1.0)) / (b + F.lit(1.0))
+    return {
+        "symbols": ratio("n_symbols", F.col("n_words")),
+        "dup_lines": ratio("n_dup_lines", F.col("n_lines") - F.col("n_dup_lines")),
+        "repeats": ratio("n_repeat_words", F.col("n_words") - F.col("n_repeat_words")),
+        "word_length": F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double")),
+    }
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
-VERDICT_SQL = """
-select d.doc_id, d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed,
-       case when d.base_failed then false
-            else 1.0e0 * d.n_symbols / d.n_words <= l.most_symbols and 1.0e0 * d.n_dup_lines / d.n_lines <= l.most_dup_lines
-                 and 1.0e0 * d.n_repeat_words / d.n_words <= l.most_repeats and 1.0e0 * d.word_chars / d.n_words between l.least_length and l.most_length end as kept
-from judged d left join {limits} l on d.lang is not distinct from l.glang and d.source is not distinct from l.gsource
-"""
+
+def sketches(counts: DataFrame) -> DataFrame:
+    """(lang, source, rate, bucket, n) of the documents that pass the base rules: one sketch per language, source and rate. Sketches merge by adding n."""
+    rows = counts.where(~base_failed()).select("lang", "source", F.inline(F.array(*(F.struct(F.lit(k).alias("rate"), v.alias("x")) for k, v in rates().items()))))
+    return rows.groupBy("lang", "source", "rate", F.ceil(F.ln("x") / F.ln(F.lit(RATIO))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def fences(sketch: DataFrame, *group: str) -> DataFrame:
+    """(group, total, least and most of each rate) from sketches merged by group. A window holds one sketch, whose size is bounded by its buckets."""
+    merged = sketch.groupBy(*group, "rate", "bucket").agg(F.sum("n").alias("n"))
+    own = W.partitionBy(*group, "rate")
+    merged = merged.withColumn("upto", F.sum("n").over(own.orderBy("bucket"))).withColumn("total", F.sum("n").over(own))
+    middle = lambda b: F.lit(2.0) * F.pow(F.lit(RATIO), b) / F.lit(1 + RATIO)
+    quartile = lambda q: middle(F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("bucket"))))
+    q = merged.groupBy(*group, "rate").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("total").alias("total"))
+    out = [F.max("total").alias("total")]
+    for k, (power, ratio) in FENCES.items():
+        away = F.pow(F.greatest(F.col("q3") / F.col("q1"), F.lit(ratio)), F.lit(power))
+        out += [F.max(F.when(F.col("rate") == k, F.col("q1") / away)).alias(f"least_{k}"), F.max(F.when(F.col("rate") == k, F.col("q3") * away)).alias(f"most_{k}")]
+    return q.groupBy(*group).agg(*out)
 
 
 def quality_limits(counts: DataFrame, least: int = LEAST) -> DataFrame:
-    """Thresholds per language and source, from the merged sketches of stored counts; one row per group, stored."""
-    return stored(counts.sparkSession.sql("with counts as (select * from {counts}), " + SKETCH_SQL.replace("{least}", str(least)) + " select * from limits", counts=counts), "limits")
+    """Thresholds per language and source from stored counts, and the depth (2 own, 1 of the language, 0 of all) that they come from; one row per group, stored."""
+    sketch = stored(sketches(counts), "sketches")
+    own, lang = (stored(fences(sketch, *g), "fences") for g in (("lang", "source"), ("lang",)))
+    every = fences(sketch).first()  # one row: all
+    names = [c for c in own.columns if c.startswith(("least_", "most_"))]
+    lang = lang.withColumnsRenamed({c: f"lang_{c}" for c in lang.columns})
+    both = own.join(lang, own["lang"].eqNullSafe(lang["lang_lang"])).withColumn("depth", F.when(F.col("total") >= least, 2).when(F.col("lang_total") >= least, 1).otherwise(0))
+    chosen = (F.when(F.col("depth") == 2, F.col(c)).when(F.col("depth") == 1, F.col(f"lang_{c}")).otherwise(F.lit(every[c]).cast("double")).alias(c) for c in names)
+    return stored(both.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "depth", *chosen), "limits")
 
 
 def quality_rules(df: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """Counts, base_failed and kept of each document of (doc_id, lang, source, `text`).
 
     The text is scanned once; the counts are stored, summed by group and bucket (combined before the shuffle), and joined with the groups' limits, which Spark broadcasts where their stored size allows."""
-    counts = stored(quality_counts(df.select("doc_id", "lang", "source", text), text), "counts")
-    limits = quality_limits(counts, least)
-    judged = SKETCH_SQL[: SKETCH_SQL.index("rates as (")].rstrip().rstrip(",")
-    return counts.sparkSession.sql("with counts as (select * from {counts}), " + judged + VERDICT_SQL, counts=counts, limits=limits)
-
-
-ORACLE_SQL = (
-    r"""
+    with scratch(df.sparkSession) as keep:
+        counts = keep(stored(quality_counts(df.select("doc_id", "lang", "source", text), text), "counts"))
+        limits = keep(quality_limits(counts, least))
+    fine = F.lit(True)
+    for k, x in rates().items():
+        fine = fine & (x <= F.col(f"most_{k}"))
+    fine = fine & (rates()["word_length"] >= F.col("least_word_length"))
+    joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    failed = base_failed()
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, False).otherwise(fine).alias("kept"))
+
+
+#: Written apart from the operator: counts from texts, quartiles by the engine's own discrete quantile of buckets, fences by hand.
+ORACLE_SQL = r"""
 with docs as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
 split as (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs),
 word as (select rid, unnest(w) as w, generate_subscripts(w, 1) as i from split),
@@ -166,15 +164,32 @@ marked as (select rid, w, twice or coalesce(lag(twice, 1) over o, false) or coal
 by_word as (select rid, count(*) as n_words, sum(length(w)) as word_chars, count(*) filter (again) as n_repeat_words from marked group by rid),
 line as (select rid, unnest(string_split(text, chr(10))) as l from docs),
 by_line as (select rid, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines from line where regexp_matches(l, '[^\x20\x09-\x0D]') group by rid),
-counts as (
+c as (
   select d.doc_id, d.lang, d.source, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
          cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
          cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
   from docs d left join by_word using (rid) left join by_line using (rid)),
+r as (
+  select *, n_words < 50 or 2 * n_repeat_words > n_words as base_failed, (n_symbols + 1e0) / (n_words + 1e0) as sy, (n_dup_lines + 1e0) / (n_lines - n_dup_lines + 1e0) as du,
+         (n_repeat_words + 1e0) / (n_words - n_repeat_words + 1e0) as re, cast(word_chars as double) / nullif(n_words, 0) as wl
+  from c),
+b as (select lang, source, cast(ceil(ln(sy) / ln(1.02e0)) as int) as sy, cast(ceil(ln(du) / ln(1.02e0)) as int) as du, cast(ceil(ln(re) / ln(1.02e0)) as int) as re, cast(ceil(ln(wl) / ln(1.02e0)) as int) as wl from r where not base_failed),
+s2 as (select lang, source, count(*) as n, quantile_disc(sy, [0.25, 0.75]) as sy, quantile_disc(du, [0.25, 0.75]) as du, quantile_disc(re, [0.25, 0.75]) as re, quantile_disc(wl, [0.25, 0.75]) as wl from b group by lang, source),
+s1 as (select lang, count(*) as n, quantile_disc(sy, [0.25, 0.75]) as sy, quantile_disc(du, [0.25, 0.75]) as du, quantile_disc(re, [0.25, 0.75]) as re, quantile_disc(wl, [0.25, 0.75]) as wl from b group by lang),
+s0 as (select quantile_disc(sy, [0.25, 0.75]) as sy, quantile_disc(du, [0.25, 0.75]) as du, quantile_disc(re, [0.25, 0.75]) as re, quantile_disc(wl, [0.25, 0.75]) as wl from b),
+picked as (
+  select s2.lang, s2.source, case when s2.n >= 100 then s2.sy when s1.n >= 100 then s1.sy else s0.sy end as sy, case when s2.n >= 100 then s2.du when s1.n >= 100 then s1.du else s0.du end as du,
+         case when s2.n >= 100 then s2.re when s1.n >= 100 then s1.re else s0.re end as re, case when s2.n >= 100 then s2.wl when s1.n >= 100 then s1.wl else s0.wl end as wl
+  from s2 join s1 on s2.lang is not distinct from s1.lang, s0),
+v as (
+  select lang, source, list_transform(sy, lambda x: 2e0 * pow(1.02e0, x) / 2.02e0) as sy, list_transform(du, lambda x: 2e0 * pow(1.02e0, x) / 2.02e0) as du,
+         list_transform(re, lambda x: 2e0 * pow(1.02e0, x) / 2.02e0) as re, list_transform(wl, lambda x: 2e0 * pow(1.02e0, x) / 2.02e0) as wl
+  from picked)
+select r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
+       not r.base_failed and r.sy <= v.sy[2] * pow(greatest(2e0, v.sy[2] / v.sy[1]), 2) and r.du <= v.du[2] * pow(greatest(2e0, v.du[2] / v.du[1]), 2)
+       and r.re <= v.re[2] * pow(greatest(2e0, v.re[2] / v.re[1]), 3) and r.wl <= v.wl[2] * pow(greatest(1.08e0, v.wl[2] / v.wl[1]), 4) and r.wl >= v.wl[1] / pow(greatest(1.08e0, v.wl[2] / v.wl[1]), 4) as kept
+from r left join v on r.lang is not distinct from v.lang and r.source is not distinct from v.source
 """
-    + SKETCH_SQL.replace("{least}", str(LEAST))
-    + VERDICT_SQL.replace("{limits}", "limits")
-)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import mixing, quality
+from timberline.llm import lines, minhash, mixing, quality, repeats, vectors, warc
 from timberline.llm.bpe import op1_bpe
 from timberline.llm.language import op2_language
 from timberline.llm.lines import op9_lines
@@ -29,5 +29,10 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op4_vectors": vectors.ORACLE_SQL,
+    "op5_minhash": minhash.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
     "op7_quality": quality.ORACLE_SQL,
+    "op9_lines": lines.ORACLE_SQL,
+    "op10_repeats": repeats.ORACLE_SQL,
 }

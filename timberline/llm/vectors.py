@@ -220,5 +220,20 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+#: All pairs by brute force.
+ORACLE_SQL = r"""
+with recursive v as (
+  select row_number() over () as rid, vec_id, cast(embedding as double[]) as x from embeddings),
+ok as (
+  select * from v where len(x) > 0 and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and list_max(list_transform(x, lambda c: abs(c))) > 0),
+edge as (select a.rid as a, b.rid as b from ok a join ok b on a.rid <> b.rid and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.95e0),
+reach as (select rid as id, rid as other from v union select r.id, e.b from reach r join edge e on r.other = e.a),
+least as (select r.id, min(v.vec_id) as component_id from reach r join v on r.other = v.rid group by r.id),
+links as (select a, count(*) as n from edge group by a)
+select v.vec_id, cast(coalesce(links.n, 0) as bigint) as n_links, least.component_id, v.vec_id is not distinct from least.component_id as kept
+from v join least on v.rid = least.id left join links on v.rid = links.a
+"""
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))

@@ -1,7 +1,11 @@
 """WARC files: one gzip member per record, written and read in sequence.
 
-The writer digests payloads, turns records whose payload an earlier page already has into revisits, and writes one member per record into files in the
-shared folder. The reader goes through a file block by block: incremental zlib decompression, records framed by their content length, payload and block digests verified.
+The writer digests payloads, turns records whose payload an earlier page already has into revisits, and writes one member per record. Files are written and read by Spark, so any store that Spark
+knows will do, and only the files of tasks that succeed are committed. The reader goes through a file block by block: incremental zlib decompression, records framed by their content length,
+payload and block digests verified.
+
+Spark's text sink ends each row with a separator. A gzip member ends with the high byte of its size, which is 0 for records under 16 MiB: that byte is the separator. A larger record is
+followed by an empty member, which ends with 0 too; readers of gzip pass over it.
 
 Rows: a null payload counts as empty; a null url is written as urn:x-page:<id>; a null page_id is written without one and sorts last. Of repeated rows
 with the smallest page_id of their payload all are responses. Very long payloads are one record each. An empty table gives no files
@@ -11,20 +15,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import fresh_path, partitions, read, stored
+from timberline.llm.common import dealt, fresh_path, read
 
-#: Compressed bytes after which the writer begins another file, and bytes that the reader takes at a time.
-FILE_BYTES, BLOCK = 256 << 20, 64 << 10
+#: Records of a file (a reading task holds a file's compressed bytes), and bytes that the reader decompresses at a time.
+PER_FILE, BLOCK = 8192, 64 << 10
 
 # Names and forms of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -32,10 +36,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
 def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
@@ -66,6 +66,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return b"".join([VERSION, b"\r\n", *(f"{k}: {v}\r\n".encode() for k, v in head.items()), b"\r\n", block, b"\r\n\r\n"])
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member that ends with a 0 byte; for 16 MiB and more, with an empty member behind it."""
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = squeeze.compress(data) + squeeze.flush()
+    return out if out[-1] == 0 else out + member(b"")
+
+
 class Members:
     """The decompressed bytes of a file of gzip members, in sequence; a record may not cross members."""
 
@@ -94,7 +101,9 @@ class Members:
         if not self._rest:
             return False
         self._member = zlib.decompressobj(31)
-        return True
+        while not self._ready and self._more():
+            pass
+        return True if self._ready else self.begin()  # an empty member holds no record
 
     def until(self, mark: bytes) -> bytes:
         while (at := self._ready.find(mark)) < 0:
@@ -161,43 +170,27 @@ def records(source, payload: bool) -> Iterator[dict]:
         }
 
 
-def write_warc(df: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Writes the archives; returns their paths, stored. Equal payloads of at least `least` bytes are written once.
+def write_warc(df: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, folder: str | None = None) -> str:
+    """Writes the archives into a new folder (of its own in the shared one, if none is given) and returns it. Equal payloads of at least `least` bytes are written once.
 
-    Only digests seen twice or more are joined back, each as one row; the join's other side is the scan, whose skew on a hot digest Spark can split.
-    A file is named anew at each attempt and listed only by the attempt that succeeds, so lost tasks leave at most unlisted files."""
-    folder = fresh_path(df.sparkSession, "warc")
+    Only digests seen twice or more are joined back, each as one row; the join's other side is the scan, whose skew on a hot digest Spark can split."""
+    folder = folder or fresh_path(df.sparkSession, "warc")
     body = F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b""))
     rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("sha1", F.sha1("payload"))
     again = rows.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("again"), "first")
-    rows = rows.join(again, rows["sha1"] == again["again"], "left").select("page_id", "url", "payload", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull() & F.col("page_id").isNull()), F.col("first")).alias("refers_to"))
+    rows = rows.join(dealt(again), rows["sha1"] == again["again"], "left").select("page_id", "url", "payload", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull() & F.col("page_id").isNull()), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = None, 0
-        place, top = located(folder)
-        place.create_dir(top, recursive=True)
         for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = place.open_output_stream(f"{top}/{name}", compression=None)
-                squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = squeeze.compress(record(**row)) + squeeze.flush()
-                out.write(member)
-                size, n = size + len(member), n + 1
-                if size >= FILE_BYTES:
-                    out.close()
-                    out = None
-                    yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
-        if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
-
-    return stored(rows.mapInArrow(run, "path string, records long"), "warc-files")
-
-
-def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
-    """Reads archives whose paths are in column `path`: page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if asked for, payload (null for revisits)."""
+            yield pa.RecordBatch.from_arrays([pa.array([member(record(**row))[:-1] for row in batch.to_pylist()], pa.binary())], names=["member"])
+
+    members = rows.mapInArrow(run, "member binary")
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", PER_FILE).text(folder)
+    return folder
+
+
+def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+    """Reads a folder of archives: page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if asked for, payload (null for revisits)."""
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *["payload"] * payload]
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payload
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), *[("payload", pa.binary())] * payload])
@@ -205,9 +198,8 @@ def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                place, at = located(path)
-                with place.open_input_stream(at, compression=None) as source:
+            for content in batch.column("content"):
+                with io.BytesIO(memoryview(content.as_buffer())) as source:
                     for r in records(source, payload):
                         held.append({k: r[k] for k in names})
                         size += 200 + len(r["payload"] or b"")
@@ -217,8 +209,21 @@ def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=kinds)
 
-    return files.select("path").repartition(partitions(files.sparkSession), "path").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_warc(write_warc(read(spark, sf_dir, "pages")), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, write_warc(read(spark, sf_dir, "pages")), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The digest's base32 letters from groups of five hexadecimal digits.
+ORACLE_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as n, sha1(body) as hex, min(page_id) over (partition by sha1(body)) as first from p),
+b as (
+  select page_id, n, first, list_transform(range(0, 40, 5), lambda i: cast('0x' || substr(hex, i + 1, 5) as bigint)) as g from d)
+select page_id, cast(n as bigint) as payload_bytes,
+       array_to_string(list_transform(g, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((x >> s) & 31 as int) + 1, 1)), '')), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from b
+"""
