@@ -14,20 +14,22 @@ ROWS = """
 0.17004 12.5 7.87 0 0.524 6.004 85.9 6.5921 5 311 15.2 386.71 17.1 18.9
 """
 
-# Fixed values: (method, depth, trees as "splits | leaf weights").
+INF = float("inf")
+
+# Method, depth, and of each tree the features, thresholds and leaf weights.
 MODELS = [
-    ("exact", 1, ["6<65.1999969 | 32.7496719 21.3331203"]),
-    ("exact", 2, ["6<65.1999969 5<7.14699984 0<0.170039997 | 30.549696 34.9496498 23.399765 17.1998291"]),
-    ("exact", 3, ["6<65.1999969 5<7.14699984 0<0.170039997 0<inf 0<inf 0<0.0882899985 0<inf | 30.549696 0 34.9496498 0 22.2997761 24.499754 17.1998291 0"]),
-    ("exact", 1, ["6<65.1999969 | 32.7496719 21.3331203", "11<394.630005 | -2.84136748 1.89467728"]),
-    ("exact", 2, ["6<65.1999969 5<7.14699984 0<0.170039997 | 30.549696 34.9496498 23.399765 17.1998291", "0<0.0323700011 0<0.0273100007 5<6.17199993 | -0.324703783 -2.32470655 -0.333137989 2.10027623"]),
-    ("exact", 3, ["6<65.1999969 5<7.14699984 0<0.170039997 0<inf 0<inf 0<0.0882899985 0<inf | 30.549696 0 34.9496498 0 22.2997761 24.499754 17.1998291 0", "6<58.7000008 0<inf 11<396.899994 0<inf 0<inf 11<394.119995 0<inf | 1.55031276 0 0 0 -0.249766707 -2.2247026 0.700224519 0"]),
-    ("hist", 1, ["6<63.1499977 | 32.7496719 21.3331203"]),
-    ("hist", 2, ["6<63.1499977 5<7.07250023 0<0.157294989 | 30.549696 34.949646 23.3997669 17.1998253"]),
-    ("hist", 3, ["6<63.1499977 5<7.07250023 0<0.157294989 0<inf 0<inf 0<0.0786699951 0<inf | 30.549696 0 34.949646 0 22.2997799 24.499754 17.1998253 0"]),
-    ("hist", 1, ["6<63.1499977 | 32.7496719 21.3331203", "11<394.375 | -2.84136748 1.89467728"]),
-    ("hist", 2, ["6<63.1499977 5<7.07250023 0<0.157294989 | 30.549696 34.9496498 23.399765 17.1998291", "0<0.0311099999 0<0.0273000002 5<6.09200001 | -0.324703783 -2.32470655 -0.333137989 2.10027623"]),
-    ("hist", 3, ["6<63.1499977 5<7.07250023 0<0.157294989 0<inf 0<inf 0<0.0786699951 0<inf | 30.549696 0 34.949646 0 22.2997799 24.499754 17.1998253 0", "6<56.4500008 0<inf 11<396.25 0<inf 0<inf 11<393.474976 0<inf | 1.55031466 0 0 0 -0.249762893 -2.2247026 0.700221956 0"]),
+    ("exact", 1, [([6], [65.1999969], [32.7496719, 21.3331203])]),
+    ("exact", 2, [([6, 5, 0], [65.1999969, 7.14699984, 0.170039997], [30.549696, 34.9496498, 23.399765, 17.1998291])]),
+    ("exact", 3, [([6, 5, 0, 0, 0, 0, 0], [65.1999969, 7.14699984, 0.170039997, INF, INF, 0.0882899985, INF], [30.549696, 0.0, 34.9496498, 0.0, 22.2997761, 24.499754, 17.1998291, 0.0])]),
+    ("exact", 1, [([6], [65.1999969], [32.7496719, 21.3331203]), ([11], [394.630005], [-2.84136748, 1.89467728])]),
+    ("exact", 2, [([6, 5, 0], [65.1999969, 7.14699984, 0.170039997], [30.549696, 34.9496498, 23.399765, 17.1998291]), ([0, 0, 5], [0.0323700011, 0.0273100007, 6.17199993], [-0.324703783, -2.32470655, -0.333137989, 2.10027623])]),
+    ("exact", 3, [([6, 5, 0, 0, 0, 0, 0], [65.1999969, 7.14699984, 0.170039997, INF, INF, 0.0882899985, INF], [30.549696, 0.0, 34.9496498, 0.0, 22.2997761, 24.499754, 17.1998291, 0.0]), ([6, 0, 11, 0, 0, 11, 0], [58.7000008, INF, 396.899994, INF, INF, 394.119995, INF], [1.55031276, 0.0, 0.0, 0.0, -0.249766707, -2.2247026, 0.700224519, 0.0])]),
+    ("hist", 1, [([6], [63.1499977], [32.7496719, 21.3331203])]),
+    ("hist", 2, [([6, 5, 0], [63.1499977, 7.07250023, 0.157294989], [30.549696, 34.949646, 23.3997669, 17.1998253])]),
+    ("hist", 3, [([6, 5, 0, 0, 0, 0, 0], [63.1499977, 7.07250023, 0.157294989, INF, INF, 0.0786699951, INF], [30.549696, 0.0, 34.949646, 0.0, 22.2997799, 24.499754, 17.1998253, 0.0])]),
+    ("hist", 1, [([6], [63.1499977], [32.7496719, 21.3331203]), ([11], [394.375], [-2.84136748, 1.89467728])]),
+    ("hist", 2, [([6, 5, 0], [63.1499977, 7.07250023, 0.157294989], [30.549696, 34.9496498, 23.399765, 17.1998291]), ([0, 0, 5], [0.0311099999, 0.0273000002, 6.09200001], [-0.324703783, -2.32470655, -0.333137989, 2.10027623])]),
+    ("hist", 3, [([6, 5, 0, 0, 0, 0, 0], [63.1499977, 7.07250023, 0.157294989, INF, INF, 0.0786699951, INF], [30.549696, 0.0, 34.949646, 0.0, 22.2997799, 24.499754, 17.1998253, 0.0]), ([6, 0, 11, 0, 0, 11, 0], [56.4500008, INF, 396.25, INF, INF, 393.474976, INF], [1.55031466, 0.0, 0.0, 0.0, -0.249762893, -2.2247026, 0.700221956, 0.0])]),
 ]
 
 

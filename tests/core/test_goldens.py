@@ -20,11 +20,10 @@ def test_model(spark, matrix, case):
     config = {"method": 0 if method == "exact" else 1, "objective": 0, "tree": {"eta": 0.99999, "max_depth": depth, "lambda": 0.0, "alpha": 0.0, "min_child_weight": 2, "min_leaf_size": 2}, "internals": {"hist_size": 12, "use_hist_subtraction_trick": case % 2 == 0}}
     model = train(config, matrix, len(trees))
     for tree, want in zip(model.trees, trees, strict=True):
-        splits, weights = want.split(" | ")
-        fids, cuts = zip(*(s.split("<") for s in splits.split()))
-        assert tree.fids == [int(f) for f in fids]
+        fids, cuts, weights = want
+        assert tree.fids == fids
         assert [np.float32(x) for x in tree.thresholds] == [np.float32(x) for x in cuts]
-        assert np.allclose(tree.weights, [float(w) for w in weights.split()], rtol=1e-4, atol=1e-6)
+        assert np.allclose(tree.weights, weights, rtol=1e-4, atol=1e-6)
     got = [r.prediction for r in model.predict(matrix).orderBy("row_id").collect()]
     base = np.full(10, 0.5)
     x = np.array(rows(), np.float32)[:, :-1]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from timberline import Configuration, FeatureMatrix, Model, TreesClassifier, TreesError, TreesRegressor, load, train
 from timberline.functions.gain import Penalties, weight_of
 from timberline.functions.metrics import auc_table
-from timberline.operators.binning import bit_width, collect_thresholds, encode_bins, hist_thresholds, long_values
+from timberline.operators.binning import bit_width, collect_thresholds, encode_bins, hist_thresholds, long_values, sketched_thresholds
 from timberline.operators.histogram import histogram, histogram_by_task, subtracted
 from timberline.operators.routing import partition_index, split_bit
 from timberline.operators.sampling import ColumnSampler
@@ -182,6 +182,21 @@ def test_auc_with_ties(spark):
     assert auc_table(spark.createDataFrame(rows[:1], "y int, prediction double")).first()[0] is None
 
 
+def test_sketched_thresholds(spark, noisy):
+    x, y = noisy
+    m = FeatureMatrix.from_arrays(spark, x, y=y)
+    m.df = m.df.repartition(5)
+    for f, t in enumerate(sketched_thresholds(m.design(), 4, 8, 1000)):
+        v = np.sort(x[:, f])
+        assert all(abs(np.searchsorted(v, q, side="right") / 400 - k / 8) <= 0.01 for k, q in enumerate(t, 1)) or f == 3
+        assert (np.diff(t) > 0).all() and len(t) <= 7 and t[-1] < v[-1]
+    model = train({"tree": {"max_depth": 3, "eta": 1.0}, "internals": {"hist_size": 64, "sketch_accuracy": 1000}}, m, 2)
+    got = np.array([r.prediction for r in model.predict(m).orderBy("row_id").collect()])
+    assert np.mean((got - y) ** 2) < 0.3 * np.var(y)
+    assert sketched_thresholds(m.design().limit(0), 4, 8, 1000)[0].size == 0
+    model.close()
+
+
 def test_streams_are_scored(spark, noisy, tmp_path):
     x, y = noisy
     m = FeatureMatrix.from_arrays(spark, x, y=y)

@@ -10,6 +10,8 @@ from timberline.errors import TreesError
 
 EXACT, HIST = 0, 1
 LINEAR, LOGISTIC = 0, 1
+#: Two numbers for the same objective: a tree per class each round, softmax of their margins.
+SOFTMAX = (3, 4)
 
 
 @dataclass
@@ -32,7 +34,9 @@ class TreeParam:
 
 @dataclass
 class Internals:
-    """double_precision, compute_overlap and upload_features are accepted for exchange of models; sums are always double and Spark places data itself."""
+    """double_precision, compute_overlap and upload_features are accepted for exchange of models; sums are always double and Spark places data itself.
+
+    With sketch_accuracy over 0, thresholds come from mergeable quantile sketches whose ranks are off by one part in so many, in place of exact ones (an extension)."""
 
     double_precision: bool = False
     compute_overlap: int = 2
@@ -40,6 +44,7 @@ class Internals:
     use_hist_subtraction_trick: bool = True
     upload_features: bool = True
     hist_size: int = 255
+    sketch_accuracy: int = 0
 
 
 @dataclass
@@ -61,7 +66,7 @@ class Configuration:
         t = self.tree
         if self.method not in (EXACT, HIST):
             raise TreesError(f"unknown method {self.method}")
-        if self.objective not in (LINEAR, LOGISTIC):
+        if self.objective not in (LINEAR, LOGISTIC, *SOFTMAX):
             raise TreesError(f"unknown objective {self.objective}")
         if not 1 <= t.max_depth < 31:
             raise TreesError(f"max_depth must be from 1 to 30, not {t.max_depth}")
@@ -71,8 +76,8 @@ class Configuration:
             raise TreesError("initial_y must be inside (0, 1) for the logistic objective")
         if self.internals.hist_size < 2:
             raise TreesError("hist_size must be 2 or more")
-        if t.labels_count != 1:
-            raise TreesError("only one tree a round is supported")
+        if (t.labels_count < 2) if self.objective in SOFTMAX else (t.labels_count != 1):
+            raise TreesError("labels_count must be 2 or more for the softmax objective, and 1 otherwise")
 
     @staticmethod
     def parse(given: Configuration | dict | str | None) -> Configuration:

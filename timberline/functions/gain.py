@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from timberline.config import LOGISTIC, Configuration
+from timberline.config import LINEAR, Configuration
 
 
 def number(x: float) -> str:
@@ -23,13 +23,13 @@ class Penalties:
     gamma_absolute: float = 0.0
     gamma_relative: float = 0.0
     max_leaf_weight: float = 0.0
-    #: Both sides need min_child_weight for a split; only the logistic objective asks that.
+    #: Both sides need min_child_weight for a split; the linear objective does not ask that.
     gate_hessian: bool = False
 
     @staticmethod
     def of(c: Configuration) -> Penalties:
         t = c.tree
-        return Penalties(t.lambda_, t.alpha, t.min_child_weight, t.min_leaf_size, t.gamma_absolute, t.gamma_relative, t.max_leaf_weight, c.objective == LOGISTIC)
+        return Penalties(t.lambda_, t.alpha, t.min_child_weight, t.min_leaf_size, t.gamma_absolute, t.gamma_relative, t.max_leaf_weight, c.objective != LINEAR)
 
 
 def weight(g: str, h: str, c: str, p: Penalties) -> str:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timberline.config import LOGISTIC
+from timberline.config import LOGISTIC, SOFTMAX
 
 
 def sigmoid(x: Column) -> Column:
@@ -34,7 +34,8 @@ def into_margin(objective: int, value: float) -> float:
 
 
 def from_margin(objective: int, margin: Column) -> Column:
-    return sigmoid(margin) if objective == LOGISTIC else margin
+    """The prediction; for the softmax objective an array of classes' probabilities from one of margins."""
+    return softmax(margin) if objective in SOFTMAX else sigmoid(margin) if objective == LOGISTIC else margin
 
 
 def softmax(margins: Column) -> Column:

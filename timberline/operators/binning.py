@@ -67,6 +67,14 @@ def hist_thresholds(values: DataFrame, size: int, compact_gaps: bool = False) ->
     return (t if compact_gaps else t.where("bin = seg")).select("fid", "bin", "threshold")
 
 
+def sketched_thresholds(df: DataFrame, width: int, size: int, accuracy: int, features: str = "features") -> list[np.ndarray]:
+    """Thresholds near the size-quantiles of each feature, from one aggregate of mergeable sketches: nothing is exploded and only sketches are shuffled. Between two
+    neighbouring distinct quantiles the threshold is the lower one, so a value equal to it stays in the lower bin."""
+    probabilities = [i / size for i in range(1, size)]
+    row = df.agg(*(F.percentile_approx(F.get(features, F.lit(f)), probabilities, accuracy).alias(f"q{f}") for f in range(width)), *(F.max(F.get(features, F.lit(f))).alias(f"top{f}") for f in range(width))).first()
+    return [np.array(sorted({q for q in row[f"q{f}"] or () if q < row[f"top{f}"]}), np.float32) for f in range(width)]
+
+
 def collect_thresholds(thresholds: DataFrame, width: int) -> list[np.ndarray]:
     """The dictionary in the driver: at most features times bins numbers, whatever the rows."""
     out: list[list[float]] = [[] for _ in range(width)]

@@ -30,17 +30,20 @@ def histogram(df: DataFrame, codes: str = "bins", fids: Sequence[int] | None = N
     return long.groupBy("node", "fid", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("c"))
 
 
-def histogram_by_task(df: DataFrame, depth: int, tree_fids: Sequence[int], tree_cuts: Sequence[int], sizes: Sequence[int], fids: Sequence[int] | None = None, nodes: Sequence[int] | None = None) -> DataFrame:
+def histogram_by_task(df: DataFrame, depth: int, tree_fids: Sequence[int], tree_cuts: Sequence[int], sizes: Sequence[int], fids: Sequence[int] | None = None, nodes: Sequence[int] | None = None, first_category: int | None = None) -> DataFrame:
     """The same for bins, nodes found from the tree so far: each task counts into dense arrays (nodes x features x bins, however many rows), and these partial sums are added.
 
-    `nodes` keeps rows of these nodes only. Rows have bins, g and h."""
+    `nodes` keeps rows of these nodes only, and arrays have room for no others. Rows have bins, g and h."""
     width = len(sizes)
     use = list(range(width)) if fids is None else list(fids)
-    first, many = 2**depth - 1, 2**depth
+    first = 2**depth - 1
+    counted = np.arange(first, 2 * first + 1) if nodes is None else np.array(sorted(nodes), np.int64)
+    many, place = len(counted), np.full(first + 1, -1, np.int64)
+    place[counted - first] = np.arange(many)
     widths = np.array([sizes[f] for f in use], np.int64)
     start = np.concatenate(([0], np.cumsum(many * widths)))  # each feature has its own nodes x bins
-    wanted = None if nodes is None else np.isin(np.arange(many), np.array(list(nodes), np.int64) - first)
     tree_fids, tree_cuts = np.array(list(tree_fids) or [0], np.int64), np.array(list(tree_cuts) or [0], np.int64)
+    category = None if first_category is None else tree_fids >= first_category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(int(start[-1])) for _ in range(3)]
@@ -48,10 +51,10 @@ def histogram_by_task(df: DataFrame, depth: int, tree_fids: Sequence[int], tree_
             x, n = flat_lists(batch.column("bins"))
             if not n:
                 continue
-            node = node_of_array(x, tree_fids, tree_cuts, depth) - first
+            node = place[node_of_array(x, tree_fids, tree_cuts, depth, category) - first]
             g, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "h"))
-            if wanted is not None:
-                keep = wanted[node]
+            if nodes is not None:
+                keep = node >= 0
                 x, node, g, h = x[keep], node[keep], g[keep], h[keep]
             for i, f in enumerate(use):
                 cell = node * widths[i] + x[:, f]
@@ -61,7 +64,7 @@ def histogram_by_task(df: DataFrame, depth: int, tree_fids: Sequence[int], tree_
         i = np.searchsorted(start, at, side="right") - 1
         node, code = np.divmod(at - start[i], widths[i])
         yield pa.RecordBatch.from_arrays(
-            [pa.array((node + first).astype(np.int32)), pa.array(np.array(use, np.int32)[i]), pa.array(code.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at]), pa.array(sums[2][at].astype(np.int64))],
+            [pa.array(counted[node].astype(np.int32)), pa.array(np.array(use, np.int32)[i]), pa.array(code.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at]), pa.array(sums[2][at].astype(np.int64))],
             names=["node", "fid", "bin", "g", "h", "c"],
         )
 

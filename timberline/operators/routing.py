@@ -24,25 +24,28 @@ def literal_array(values: Sequence, kind: str) -> Column:
     return F.split(F.lit(",".join("NaN" if v != v else "Infinity" if v == float("inf") else "-Infinity" if v == float("-inf") else repr(v) for v in (x.item() if isinstance(x, np.generic) else x for x in values))), ",").cast(f"array<{kind}>")
 
 
-def node_of(codes: Column, fids: Sequence[int], cuts: Sequence, depth: int, kind: str) -> Column:
-    """The heap place after `depth` splits, from codes by feature. For bins a code up to the cut goes left; for values (kind float) one under it."""
+def node_of(codes: Column, fids: Sequence[int], cuts: Sequence, depth: int, kind: str, first_category: int | None = None) -> Column:
+    """The heap place after `depth` splits, from codes by feature. For bins a code up to the cut goes left; for values (kind float or double) one under it; for features
+    from `first_category` on, the cut itself."""
     if depth == 0:
         return F.lit(0)
     f, t = literal_array(fids, "int"), literal_array(cuts, kind)
 
     def step(n: Column, _: Column) -> Column:
         value, cut = F.get(codes, F.get(f, n)), F.get(t, n)
-        return child(n, value < cut if kind == "float" else value <= cut).cast("int")
+        left = value <= cut if kind == "int" else value < cut
+        return child(n, left if first_category is None else F.when(F.get(f, n) >= first_category, value == cut).otherwise(left)).cast("int")
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
 
 
-def node_of_array(x: np.ndarray, fids: np.ndarray, cuts: np.ndarray, depth: int) -> np.ndarray:
-    """node_of over a matrix; bins and values alike."""
+def node_of_array(x: np.ndarray, fids: np.ndarray, cuts: np.ndarray, depth: int, category: np.ndarray | None = None) -> np.ndarray:
+    """node_of over a matrix; bins and values alike. `category` says which nodes ask for equality."""
     node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
     for _ in range(depth):
         value, cut = x[rows, fids[node]], cuts[node]
-        node = 2 * node + np.where(value < cut if x.dtype.kind == "f" else value <= cut, 1, 2)
+        left = value < cut if x.dtype.kind == "f" else value <= cut
+        node = 2 * node + np.where(left if category is None else np.where(category[node], value == cut, left), 1, 2)
     return node
 
 

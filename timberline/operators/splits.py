@@ -33,17 +33,29 @@ def best_per_feature(gains: DataFrame) -> DataFrame:
     return best.select("node", "fid", "b.*")
 
 
-def best_splits(gains: DataFrame) -> DataFrame:
-    """One row per node with a positive gain: the greatest gain, of equal ones the smaller feature, then the largest cut."""
-    best = gains.where("gain > 0").groupBy("node").agg(F.max(F.struct("gain", (-F.col("fid")).alias("minus"), "cut", "gl", "hl", "cl", "g", "h", "c")).alias("b"))
+def best_splits(gains: DataFrame, first_category: int | None = None) -> DataFrame:
+    """One row per node with a positive gain: the greatest gain, of equal ones the smaller feature, then the largest cut (of categories the smallest)."""
+    order = F.col("cut") if first_category is None else F.when(F.col("fid") >= first_category, -F.col("cut")).otherwise(F.col("cut"))
+    best = gains.where("gain > 0").groupBy("node").agg(F.max(F.struct("gain", (-F.col("fid")).alias("minus"), order.alias("order"), "cut", "gl", "hl", "cl", "g", "h", "c")).alias("b"))
     return best.select("node", "b.gain", (-F.col("b.minus")).alias("fid"), "b.cut", "b.gl", "b.hl", "b.cl", "b.g", "b.h", "b.c")
 
 
-def category_splits(hist: DataFrame, p: Penalties) -> DataFrame:
-    """One category against the rest, for integer columns (an extension): left is the category itself, so gains need no prefix sums."""
+def category_candidates(hist: DataFrame) -> DataFrame:
+    """One category against the rest: left is the category itself, so sums need no prefixes."""
     node = W.partitionBy("node", "fid")
-    rows = hist.select("node", "fid", F.col("bin").alias("cut"), F.col("g").alias("gl"), F.col("h").alias("hl"), F.col("c").alias("cl"), *(F.sum(x).over(node).alias(x) for x in "ghc"))
-    return with_gain(rows, p)
+    return hist.select("node", "fid", F.col("bin").alias("cut"), F.col("g").alias("gl"), F.col("h").alias("hl"), F.col("c").alias("cl"), *(F.sum(x).over(node).alias(x) for x in "ghc"))
+
+
+def category_splits(hist: DataFrame, p: Penalties) -> DataFrame:
+    return with_gain(category_candidates(hist), p)
+
+
+def all_candidates(hist: DataFrame, exact: bool, first_category: int | None) -> DataFrame:
+    """Cuts of numeric features and categories of those from `first_category` on."""
+    if first_category is None:
+        return candidates(hist, exact)
+    own = F.col("fid") >= first_category
+    return candidates(hist.where(~own), exact).unionByName(category_candidates(hist.where(own)))
 
 
 def best_category_splits(gains: DataFrame) -> DataFrame:

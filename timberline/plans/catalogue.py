@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.config import Configuration
+from timberline.errors import TreesError
 from timberline.estimators import TreesClassifier, TreesRegressor
-from timberline.functions.gain import Penalties, gain_steps, score, weight
+from timberline.functions import gain as engine
+from timberline.functions.gain import Penalties
 from timberline.functions.metrics import auc_table, mse, rmse
 from timberline.functions.objective import gradients, logit, sigmoid, softmax, softmax_gradients
 from timberline.operators.binning import bit_width, collect_thresholds, encode_bins, exact_dictionary, hist_thresholds, long_values
@@ -47,12 +52,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def matrix(spark: SparkSession, d: str, name: str) -> FeatureMatrix:
     source, features, y = o.BASES[name]
+    if name == "V":
+        return FeatureMatrix(table(spark, d, "embeddings"), "embedding", y=F.expr(y), width=64, check=False)
     if name == "D":
         docs = table(spark, d, "documents").select("doc_id", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("spaces"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("line_ends"))
         df = table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id")
     else:
         df = table(spark, d, source)
-    return FeatureMatrix(df, features, y=F.expr(y), check=False)
+    target = {"labels": F.expr(y)} if name == "M" else {"y": F.expr(y)}
+    return FeatureMatrix(df, features, categories=o.CATEGORIES.get(name, ()), check=False, **target)
 
 
 def binned(spark: SparkSession, d: str, name: str, size: int = SIZE) -> tuple[DataFrame, list]:
@@ -196,26 +204,30 @@ def over_grid(sql: Callable[[str, Penalties], str], source: str) -> str:
     return " union all ".join(f"select '{name}' as params, q.* from ({sql(source, p)}) q" for name, p in GRID.items())
 
 
-def leaf_sql(source: str, p: Penalties) -> str:
-    return f"select fid, cut, round({weight('gl', 'hl', 'cl', p)}, 4) as w_left, round({weight('g - gl', 'h - hl', 'c - cl', p)}, 4) as w_right from {source}"
+def leaf_sql(weight: Callable, source: str, p: Penalties) -> str:
+    return f"select fid, cut, round({weight('gl', 'hl', 'cl', p)}, 4) as w_left, round({weight('(g - gl)', '(h - hl)', '(c - cl)', p)}, 4) as w_right from {source}"
 
 
-def score_sql(source: str, p: Penalties) -> str:
-    w = weight("gl", "hl", "cl", p)
-    return f"select fid, cut, round({score('gl', 'hl', w, p)}, 1) as score from {source}"
+def score_sql(score: Callable, weight: Callable, source: str, p: Penalties) -> str:
+    return f"select fid, cut, round({score('gl', 'hl', weight('gl', 'hl', 'cl', p), p)}, 1) as score from {source}"
 
 
-def gain_sql(source: str, p: Penalties) -> str:
-    return f"select fid, cut, round(cast(gain as double), -1) as gain from ({gain_steps(source, p, 'fid, cut')}) z"
+def gain_sql(steps: Callable, source: str, p: Penalties) -> str:
+    return f"select fid, cut, round(cast(gain as double), -1) as gain from ({steps(source, p, 'fid, cut')}) z"
 
 
-for _name, _sql in (("leaf_weight", leaf_sql), ("node_score", score_sql), ("split_gain", gain_sql)):
+# the engine's formulas, and those written apart in the oracles
+for _name, _own, _other in (
+    ("leaf_weight", partial(leaf_sql, engine.weight), partial(leaf_sql, o.weight)),
+    ("node_score", partial(score_sql, engine.score, engine.weight), partial(score_sql, o.score, o.size)),
+    ("split_gain", partial(gain_sql, engine.gain_steps), partial(gain_sql, o.gains)),
+):
 
-    def _run(spark, d, sql=_sql):
+    def _run(spark, d, sql=_own):
         rows = candidates(histogram(with_gradients(binned(spark, d, "L")[0])))
         return spark.sql(over_grid(sql, "{rows}"), rows=rows)
 
-    query(_name, ROOT + " " + over_grid(_sql, "cand_0_0"))(_run)
+    query(_name, ROOT + " " + over_grid(_other, "cand_0_0"))(_run)
 
 
 # 2.4 arg-max
@@ -260,7 +272,7 @@ def best_split_logistic(spark, d):
 GATES = {
     "gamma_gated_split": replace(PLAIN, gamma_absolute=3.9e7),
     "l1_l2_split": replace(PLAIN, lambda_=5000.0, alpha=3000.0),
-    "clamped_leaf": replace(PLAIN, max_leaf_weight=2.0),
+    "clamped_leaf": replace(PLAIN, max_leaf_weight=30.0),
     "min_leaf_gate": replace(PLAIN, min_leaf_size=200),
 }
 
@@ -284,7 +296,7 @@ EXACT = f"""with {o.rows("S")}, {o.long("S")},
 hist as (select l.fid, l.v as cut, sum(cast(r.y as double) - 0.5e0) as g1, count(*) as c1 from long_ l join rows_ r on l.rid = r.rid group by l.fid, l.v),
 cand as (select 0 as node, fid, cut, sum(g1) over b as gl, cast(sum(c1) over b as double) as hl, sum(c1) over b as cl, sum(g1) over t as g, cast(sum(c1) over t as double) as h, sum(c1) over t as c
   from hist window b as (partition by fid order by cut rows between unbounded preceding and 1 preceding), t as (partition by fid)),
-gains as ({gain_steps("(select * from cand where cl is not null) k", PLAIN, "node, fid, cut")})"""
+gains as ({o.gains("(select * from cand where cl is not null) k", PLAIN, "node, fid, cut")})"""
 
 
 def exact_gains(spark, d):
@@ -352,6 +364,7 @@ def level1_best_splits(spark, d):
 
 
 NODES = "tree, id, leaf, fid, threshold, weight"
+WITH_CATEGORY = NODES + ", category"
 
 
 def grown_sql(name, objective, levels):
@@ -359,12 +372,12 @@ def grown_sql(name, objective, levels):
     return o.grown(name, objective, levels, p, 0.3, "0e0" if objective else "0.5e0", SIZE)
 
 
-def nodes_sql(n: int) -> str:
-    return " union all ".join(f"select {NODES} from nodes_{k}" for k in range(n))
+def nodes_sql(n: int, names: str = NODES) -> str:
+    return " union all ".join(f"select {names} from nodes_{k}" for k in range(n))
 
 
-def rounded_nodes(spark, model: Model) -> DataFrame:
-    return nodes_table(spark, model.trees).withColumn("weight", F.round("weight", 3))
+def rounded_nodes(spark, model: Model, names: str = NODES) -> DataFrame:
+    return nodes_table(spark, model.trees).withColumn("weight", F.round("weight", 3)).select(*names.split(", "))
 
 
 def ensemble(spark, d, name, objective, levels) -> Model:
@@ -481,7 +494,7 @@ def metric_auc(spark, d):
     f"""with c as (select l_linenumber as cut, sum(cast(y as double) - 0.5e0) as gl, cast(count(*) as double) as hl, count(*) as cl
 from (select l_linenumber, cast(l_extendedprice * (1 - l_discount) * (1 + l_tax) / 1000 as float) as y from lineitem) r group by 1),
 k as (select 0 as node, 0 as fid, cut, gl, hl, cl, sum(gl) over () as g, sum(hl) over () as h, sum(cl) over () as c from c)
-select cut, round(gl, 2) as gl, cl, round(cast(gain as double), -1) as gain from ({gain_steps("k", PLAIN, "node, fid, cut")}) z where gain > 0 order by gain desc, cut limit 1""",
+select cut, round(gl, 2) as gl, cl, round(cast(gain as double), -1) as gain from ({o.gains("k", PLAIN, "node, fid, cut")}) z where gain > 0 order by gain desc, cut limit 1""",
 )
 def category_best_split(spark, d):
     m = FeatureMatrix(table(spark, d, "lineitem"), ["l_quantity"], y=F.expr(o.BASES["L"][2]), categories=["l_linenumber"], check=False)
@@ -520,34 +533,166 @@ def weighted_grad(spark, d):
     return m.design().agg(F.round(F.sum(g), 1).alias("g"), F.round(F.sum(h), 2).alias("h"))
 
 
-@query("wide_vectors_tree")
+VECTORS = replace(PLAIN, lambda_=0.0)
+
+
+@query("wide_vectors_tree", o.grown("V", 0, [1], VECTORS, 0.3, "0.1e0", SIZE) + " " + nodes_sql(1))
 def wide_vectors_tree(spark, d):
     """A depth-1 tree over 64 features from an array column."""
-    m = FeatureMatrix(table(spark, d, "embeddings"), "embedding", y=F.expr("case when label = 0 then 1 else 0 end"), width=64, check=False)
-    return rounded_nodes(spark, train(config(1, 1, **{"lambda": 0.0, "initial_y": 0.1}), m, 1))
+    return rounded_nodes(spark, train(config(0, 1, **{"lambda": 0.0, "initial_y": 0.1}), matrix(spark, d, "V"), 1))
 
 
-@query("early_stopping")
+PLAIN_FIT = {"min_leaf_size": 1, "colsample_bytree": 1.0, "l1": 0.0, "hist_size": SIZE, "verbosity": 0}
+
+
+@query(
+    "early_stopping",
+    o.grown("L", 0, [1, 1, 1, 1], PLAIN, 2.5, "0.5e0", SIZE)
+    + ", scores as ("
+    + " union all ".join(f"select {k} as round, avg(pow(cast(r.y as double) - m.m, 2)) as score from margin_{k + 1} m join rows_ r on m.rid = r.rid" for k in range(4))
+    + ") select round, round(score, 2) as score, round = (select arg_min(round, score) from scores) as best from scores",
+)
 def early_stopping(spark, d):
-    """Scores of an evaluation set by round, until they stop improving."""
-    fit = TreesRegressor(max_depth=2, learning_rate=0.9, n_estimators=12, hist_size=SIZE, verbosity=0).fit(matrix(spark, d, "L"), matrix(spark, d, "L"), early_stopping_rounds=2)
-    return spark.createDataFrame([(i, float(s), i == fit.best_round) for i, s in enumerate(fit.scores)], "round int, score double, best boolean")
+    """Scores of an evaluation set by round. Steps are so long that each tree but the first makes them worse, so training stops after the patience of two rounds, long before the tenth."""
+    fit = TreesRegressor(max_depth=1, learning_rate=2.5, n_estimators=10, **PLAIN_FIT).fit(matrix(spark, d, "L"), matrix(spark, d, "L"), early_stopping_rounds=2)
+    fit.model.close()
+    return spark.createDataFrame([(i, round(float(s), 2), i == fit.best_round) for i, s in enumerate(fit.scores)], "round int, score double, best boolean")
 
 
-@query("classifier_fit")
+@query("classifier_fit", grown_sql("B", 1, [2, 2]) + " " + nodes_sql(2))
 def classifier_fit(spark, d):
-    fit = TreesClassifier(max_depth=2, n_estimators=3, hist_size=SIZE, verbosity=0).fit(matrix(spark, d, "B"))
+    fit = TreesClassifier(max_depth=2, n_estimators=2, learning_rate=0.3, **PLAIN_FIT).fit(matrix(spark, d, "B"))
+    fit.model.close()
     return rounded_nodes(spark, fit.model)
 
 
-@query("column_sampling")
+@query("regressor_fit", grown_sql("L", 0, [2, 2]) + " " + nodes_sql(2))
+def regressor_fit(spark, d):
+    fit = TreesRegressor(max_depth=2, n_estimators=2, learning_rate=0.3, **PLAIN_FIT).fit(matrix(spark, d, "L"))
+    fit.model.close()
+    return rounded_nodes(spark, fit.model)
+
+
+@query("custom_gradient_tree", grown_sql("L", 0, [2]) + " " + nodes_sql(1))
+def custom_gradient_tree(spark, d):
+    """The linear objective's tree from gradients that the caller gives."""
+    model = Model(config(1, 2, initial_y=0.5), matrix(spark, d, "L"))
+    model.grow_tree((F.col("y").cast("double") - F.lit(0.5), F.lit(1.0)))
+    model.close()
+    return rounded_nodes(spark, model)
+
+
+def sampled(level: int) -> list[int]:
+    """The features that a sampler of five columns draws for its first tree and its first or second level."""
+    s = ColumnSampler(5, 0.8, 0.75, 7)
+    s.tree()
+    return [s.level() for _ in range(level + 1)][level]
+
+
+def sampled_sql() -> str:
+    return ROOT + " " + " union all ".join(f"select {k} as level, fid, bin, {SUMS} from hist_0_0 where fid in ({', '.join(map(str, sampled(k)))})" for k in (0, 1))
+
+
+@query("column_sampling", sampled_sql())
 def column_sampling(spark, d):
-    s = ColumnSampler(10, 0.5, 0.6, 7)
-    return spark.createDataFrame([(t, l, s.level()) for t in range(3) if s.tree() for l in range(3)], "tree int, level int, fids array<int>")
+    """Root histograms of the features that a tree's first two levels would draw."""
+    rows, t = binned(spark, d, "L")
+    rows, sizes = with_gradients(rows), [len(x) + 1 for x in t]
+    parts = [histogram_by_task(rows, 0, [], [], sizes, fids=sampled(k)).select(F.lit(k).alias("level"), "fid", "bin", *sums("g", "h", "c")) for k in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
-@query("exact_tree")
+@query("exact_tree", o.grown("S", 0, [3], PLAIN, 0.3, "0.5e0", by_value=True) + " " + nodes_sql(1))
 def exact_tree(spark, d):
     c = config(depth=3)
     c.method = 0
     return rounded_nodes(spark, train(c, matrix(spark, d, "S"), 1))
+
+
+@query("category_tree", grown_sql("C", 0, [2, 2]) + " " + nodes_sql(2, WITH_CATEGORY))
+def category_tree(spark, d):
+    """Two trees in which a category column splits beside numbers."""
+    return rounded_nodes(spark, ensemble(spark, d, "C", 0, [2, 2]), WITH_CATEGORY)
+
+
+@query("category_predict", grown_sql("C", 0, [2, 2]) + " " + LEAVES.format(m="m", t="margin_2"))
+def category_predict(spark, d):
+    return by_prediction(load(ensemble(spark, d, "C", 0, [2, 2]).dump()).predict(matrix(spark, d, "C")))
+
+
+SOFT = replace(PLAIN, gate_hessian=True)
+SOFTMAX_SQL = o.softmax_grown("M", 3, 2, 2, SOFT, 0.3, SIZE)
+
+
+def softmax_model(spark, d) -> Model:
+    model = train(config(3, 2, labels_count=3, initial_y=0.0), matrix(spark, d, "M"), 2)
+    model.close()
+    return model
+
+
+@query("softmax_trees", SOFTMAX_SQL + " " + nodes_sql(6))
+def softmax_trees(spark, d):
+    """Two rounds of a tree for each of three classes."""
+    return rounded_nodes(spark, softmax_model(spark, d))
+
+
+@query("softmax_predict", SOFTMAX_SQL + ", e as (select exp(m0) as a, exp(m1) as b, exp(m2) as c from margins_2) select round(a / (a + b + c), 3) as p0, round(b / (a + b + c), 3) as p1, round(c / (a + b + c), 3) as p2, count(*) as n from e group by 1, 2, 3")
+def softmax_predict(spark, d):
+    out = softmax_model(spark, d).predict(matrix(spark, d, "M"))
+    return out.groupBy(*(F.round(F.get("prediction", F.lit(k)), 3).alias(f"p{k}") for k in range(3))).agg(F.count("*").alias("n"))
+
+
+@query("class_labels", "select 4 as labels_count, l_linenumber % 4 as label, count(*) as n from lineitem group by 2")
+def class_labels(spark, d):
+    m = FeatureMatrix(table(spark, d, "lineitem"), ["l_quantity"], labels=F.col("l_linenumber") % 4)
+    return m.df.groupBy(m.labels.alias("label")).agg(F.count("*").alias("n")).select(F.lit(m.labels_count).alias("labels_count"), "label", "n")
+
+
+@query("missing_values", "select count(*) as n, round(sum(coalesce(nullif(cast(l_discount as float), cast(0.05 as float)), -1)), 2) as total from lineitem")
+def missing_values(spark, d):
+    df = table(spark, d, "lineitem").select(F.when(F.col("l_discount").cast("float") != F.lit(0.05).cast("float"), F.col("l_discount")).alias("x"))
+    return FeatureMatrix(df, ["x"], missing=-1.0).design().agg(F.count("*").alias("n"), F.round(F.sum(F.get("features", F.lit(0)).cast("double")), 2).alias("total"))
+
+
+@query("from_arrays", "select row_number() over (order by n_nationkey) - 1 as row_id, cast(n_nationkey as float) as f0, cast(n_regionkey * 0.1e0 as float) as f1, cast(n_regionkey as int) as c0, cast(n_nationkey as float) / 2 as y from nation")
+def from_arrays(spark, d):
+    """A matrix from arrays in the driver's memory."""
+    rows = table(spark, d, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").collect()
+    key, region = np.array([r[0] for r in rows], np.float64), np.array([r[1] for r in rows])
+    m = FeatureMatrix.from_arrays(spark, np.column_stack([key, region * 0.1]), region[:, None], y=key / 2)
+    return m.df.select("row_id", "f0", "f1", "c0", "y")
+
+
+@query(
+    "config_json",
+    "select * from (values ('internals.hist_size', '32'), ('internals.seed', '9'), ('method', '0'), ('objective', '1'), ('tree.colsample_bytree', '0.5'), ('tree.eta', '0.25'), ('tree.lambda', '2.0'), ('tree.max_depth', '4'), ('verbose.gpu', 'true')) t(key, value)",
+)
+def config_json(spark, d):
+    """A configuration after its way through JSON and back, with unknown keys left out; what is not the default."""
+    given = {"method": 0, "objective": 1, "unknown": 1, "tree": {"max_depth": 4, "eta": 0.25, "lambda": 2.0, "colsample_bytree": 0.5, "gamma": 3}, "internals": {"hist_size": 32, "seed": 9}, "verbose": {"gpu": True}}
+    flat = lambda x: {f"{k}.{n}" if isinstance(v, dict) else k: w for k, v in x.items() for n, w in (v.items() if isinstance(v, dict) else [(k, v)])}
+    out, default = flat(Configuration.parse(json.dumps(Configuration.parse(given).to_dict())).to_dict()), flat(Configuration().to_dict())
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(out.items()) if v != default[k]], "key string, value string")
+
+
+@query("refused", "select * from (values ('a column that is not there', true), ('a null feature', true), ('a text feature', true), ('all fine', false), ('depth 0', true), ('two targets', true)) t(case_, refused)")
+def refused(spark, d):
+    """Which of these inputs raise an error."""
+    df = table(spark, d, "nation").withColumn("hole", F.when(F.col("n_nationkey") > 3, 1.0))
+    cases = {
+        "a column that is not there": lambda: FeatureMatrix(df, ["nothing"]),
+        "a null feature": lambda: FeatureMatrix(df, ["hole"]),
+        "a text feature": lambda: FeatureMatrix(df, ["n_name"]),
+        "all fine": lambda: FeatureMatrix(df, ["n_nationkey"], y="n_regionkey"),
+        "depth 0": lambda: Configuration.parse({"tree": {"max_depth": 0}}),
+        "two targets": lambda: FeatureMatrix(df, ["n_nationkey"], y="n_regionkey", labels="n_regionkey"),
+    }
+
+    def raises(f: Callable) -> bool:
+        try:
+            f()
+        except (TreesError, KeyError):
+            return True
+        return False
+
+    return spark.createDataFrame([(k, raises(f)) for k, f in cases.items()], "case_ string, refused boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 from timberline.config import EXACT, Configuration
 from timberline.functions.gain import Penalties, weight_of
 from timberline.operators.histogram import histogram, histogram_by_task, root_sums, subtracted
-from timberline.operators.routing import node_of
+from timberline.operators.routing import literal_array, node_of
 from timberline.operators.sampling import ColumnSampler
-from timberline.operators.splits import best_splits, candidates, with_gain
+from timberline.operators.splits import all_candidates, best_splits, with_gain
 from timberline.plans.model import Tree
 
-#: Cells of a dense partial histogram (nodes x features x bins) that a task may hold; beyond, rows are exploded and counted by Spark's own hash aggregate.
-TASK_CELLS = 1 << 22
+#: Cells of a dense partial histogram (nodes x features x bins) that a task may hold, and passes over the rows that blocks of features may take; beyond, rows are exploded and counted by Spark's own hash aggregate.
+TASK_CELLS, PASSES = 1 << 22, 16
 
 
 @dataclass
@@ -29,15 +30,33 @@ class Grown:
     cuts: list
 
 
-def grow(data: DataFrame, config: Configuration, width: int, thresholds: list[np.ndarray] | None, sampler: ColumnSampler, by_task: bool = True) -> Grown:
-    """From rows of codes (bins array<int>, or features array<float> in exact mode), g and h.
+def feature_blocks(sizes: list[int], fids: list[int], nodes: int, most: int) -> list[list[int]] | None:
+    """The features in blocks whose histograms over so many nodes have at most `most` cells; None if one alone has more."""
+    out: list[list[int]] = []
+    room = 0
+    for f in fids:
+        cells = sizes[f] * nodes
+        if cells > most:
+            return None
+        if not out or cells > room:
+            out.append([])
+            room = most
+        out[-1].append(f)
+        room -= cells
+    return out
+
+
+def grow(data: DataFrame, config: Configuration, width: int, thresholds: list[np.ndarray] | None, sampler: ColumnSampler, by_task: bool = True, categories: list[int] | None = None) -> Grown:
+    """From rows of codes (bins array<int>, or features array<float or double> in exact mode), g and h. `categories` has the number of codes of each category feature; these come last.
 
     The node of a row is an expression of its codes and the tree so far, so nothing of the data is rewritten between levels. With the subtraction trick only the smaller child of each split
     is counted; the parents' histograms are cached for it."""
     exact, p, levels = config.method == EXACT, Penalties.of(config), config.tree.max_depth
-    codes, kind = ("features", "float") if exact else ("bins", "int")
+    first_category = width - len(categories) if categories else None
+    codes, kind = ("bins", "int") if not exact else ("features", "double" if categories else "float")
     none = math.inf if exact else 2**31 - 1
-    fids, cuts, limits = [], [], []
+    sizes = [len(t) + 1 for t in thresholds] + list(categories or ()) if thresholds is not None else None
+    fids, cuts, limits, equal = [], [], [], []
     sampled = sampler.tree()
     r = root_sums(data).first()
     sums = {0: (r["g"] or 0.0, r["h"] or 0.0, r["c"])}
@@ -52,27 +71,33 @@ def grow(data: DataFrame, config: Configuration, width: int, thresholds: list[np
             count = alive
             if trick:  # the smaller child of each pair, the left one if equal
                 count = [min((n for n in (u, u + 1)), key=lambda n: (sums.get(n, (0, 0, 0))[2], n)) for u in range(first, 2 * first + 1, 2) if sums.get(u, (0, 0, 0))[2] + sums.get(u + 1, (0, 0, 0))[2] > 0]
-            cells = 2**level * sum(len(thresholds[f]) + 1 for f in own) if thresholds is not None else math.inf
-            if by_task and cells <= TASK_CELLS:
-                sizes = [len(t) + 1 for t in thresholds]
-                hist = histogram_by_task(data, level, fids, cuts, sizes, own if len(own) < width else None, count if len(count) < 2**level else None)
+            some = count if len(count) < 2**level else None
+            blocks = feature_blocks(sizes, own, len(count), TASK_CELLS) if by_task and sizes is not None else None
+            if blocks is not None and len(blocks) <= PASSES:
+                parts = [histogram_by_task(data, level, fids, cuts, sizes, b if len(b) < width else None, some, first_category) for b in blocks]
+                hist = reduce(DataFrame.unionByName, parts)
             else:
-                rows = data.withColumn("node", node_of(F.col(codes), fids, cuts, level, kind))
-                rows = rows.where(F.col("node").isin(count)) if len(count) < 2**level else rows
+                node = node_of(F.col(codes), fids, cuts, level, kind, first_category)
+                rows = data.withColumn("node", node)
+                if some is not None:
+                    counted = set(some)
+                    rows = rows.where(F.get(literal_array([int(n in counted) for n in range(first, 2 * first + 1)], "int"), F.col("node") - first) == 1)
                 hist = histogram(rows, codes, own if len(own) < width else None)
             if trick:
                 hist = subtracted(cached.where(F.col("fid").isin(own)) if len(own) < len(cached_fids) else cached, hist)
             if config.internals.use_hist_subtraction_trick and not exact and level + 1 < levels:
                 hist = hist.persist()
-            best = {b["node"]: b for b in best_splits(with_gain(candidates(hist, exact), p)).collect()}
+            best = {b["node"]: b for b in best_splits(with_gain(all_candidates(hist, exact, first_category), p), first_category).collect()}
             if cached is not None:
                 cached.unpersist()
             cached, cached_fids = (hist, set(own)) if hist.is_cached else (None, set())
         for n in range(first, 2 * first + 1):
             b, total = best.get(n), sums.get(n, (0.0, 0.0, 0))
+            category = b is not None and first_category is not None and b["fid"] >= first_category
             fids.append(b["fid"] if b else 0)
             cuts.append(b["cut"] if b else none)
-            limits.append((float(b["cut"]) if exact else float(thresholds[b["fid"]][b["cut"]])) if b else math.inf)
+            equal.append(int(b["cut"]) if category else None)
+            limits.append(math.inf if b is None or category else float(b["cut"]) if exact else float(thresholds[b["fid"]][b["cut"]]))
             left = (b["gl"], b["hl"], b["cl"]) if b else total
             sums[2 * n + 1] = left
             sums[2 * n + 2] = (total[0] - left[0], total[1] - left[1], total[2] - left[2]) if b else (0.0, 0.0, 0)
@@ -80,4 +105,4 @@ def grow(data: DataFrame, config: Configuration, width: int, thresholds: list[np
         cached.unpersist()
     leaves = [sums[n] for n in range(2**levels - 1, 2 ** (levels + 1) - 1)]
     weights = [float(np.float32(weight_of(*s, p) * config.tree.eta)) for s in leaves]
-    return Grown(Tree(levels, fids, limits, weights), cuts)
+    return Grown(Tree(levels, fids, limits, weights, equal if any(c is not None for c in equal) else []), cuts)

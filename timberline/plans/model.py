@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +22,22 @@ from timberline.operators.routing import literal_array, node_of_array
 
 @dataclass
 class Tree:
-    """A complete tree of `levels` splits on each way: places in heap order, a missing split is feature 0 at infinity; leaf weights from left to right, already times eta."""
+    """A complete tree of `levels` splits on each way: places in heap order, a missing split is feature 0 at infinity; leaf weights from left to right, already times eta.
+
+    `categories`, if any, has for each place the category that goes left, or None where the threshold decides."""
 
     levels: int
     fids: list[int]
     thresholds: list[float]
     weights: list[float]
+    categories: list[int | None] = field(default_factory=list)
 
     def to_dict(self) -> dict:
         inner = len(self.fids)
         nodes: list[dict] = [{"id": i, "leaf": False, "left": 2 * i + 1, "right": 2 * i + 2, "threshold": None if math.isinf(t) else t, "fid": f} for i, (f, t) in enumerate(zip(self.fids, self.thresholds))]
+        for node, c in zip(nodes, self.categories):
+            if c is not None:
+                node["category"] = c
         nodes += [{"id": inner + i, "leaf": True, "idx": i} for i in range(len(self.weights))]
         return {"depth": self.levels + 1, "nodes": nodes, "weights": self.weights}
 
@@ -41,12 +47,13 @@ class Tree:
         levels = len(weights).bit_length() - 1
         if len(weights) != 2**levels or d.get("depth", levels + 1) != levels + 1:
             raise TreesError("a tree's weights don't fit its depth")
-        fids, thresholds = [0] * (len(weights) - 1), [math.inf] * (len(weights) - 1)
+        fids, thresholds, categories = [0] * (len(weights) - 1), [math.inf] * (len(weights) - 1), [None] * (len(weights) - 1)
         for n in d["nodes"]:
             if not n.get("leaf", False) and n["id"] < len(fids):
                 fids[n["id"]] = int(n.get("fid", 0))
                 thresholds[n["id"]] = math.inf if n.get("threshold") is None else float(np.float32(n["threshold"]))
-        return Tree(levels, fids, thresholds, weights)
+                categories[n["id"]] = n.get("category")
+        return Tree(levels, fids, thresholds, weights, categories if any(c is not None for c in categories) else [])
 
 
 def dump_json(config: Configuration, trees: list[Tree]) -> str:
@@ -62,12 +69,12 @@ def load_json(text: str) -> tuple[Configuration, list[Tree]]:
 
 
 def nodes_table(spark: SparkSession, trees: list[Tree]) -> DataFrame:
-    """A row per node: tree, id, leaf, fid, threshold (null at infinity), weight."""
+    """A row per node: tree, id, leaf, fid, threshold (null at infinity), category (null where the threshold decides), weight."""
     rows = []
     for k, t in enumerate(trees):
-        rows += [(k, i, False, f, None if math.isinf(x) else float(x), None) for i, (f, x) in enumerate(zip(t.fids, t.thresholds))]
-        rows += [(k, len(t.fids) + i, True, None, None, float(w)) for i, w in enumerate(t.weights)]
-    return spark.createDataFrame(rows, "tree int, id int, leaf boolean, fid int, threshold float, weight double")
+        rows += [(k, i, False, f, None if math.isinf(x) else float(x), c, None) for i, (f, x, c) in enumerate(zip(t.fids, t.thresholds, t.categories or [None] * len(t.fids)))]
+        rows += [(k, len(t.fids) + i, True, None, None, None, float(w)) for i, w in enumerate(t.weights)]
+    return spark.createDataFrame(rows, "tree int, id int, leaf boolean, fid int, threshold float, category int, weight double")
 
 
 def trees_of(nodes: DataFrame) -> list[Tree]:
@@ -78,7 +85,8 @@ def trees_of(nodes: DataFrame) -> list[Tree]:
     out = []
     for _, rows in sorted(by.items()):
         inner, leaves = [r for r in rows if not r["leaf"]], [r for r in rows if r["leaf"]]
-        out.append(Tree(len(leaves).bit_length() - 1, [r["fid"] for r in inner], [math.inf if r["threshold"] is None else r["threshold"] for r in inner], [r["weight"] for r in leaves]))
+        categories = [r["category"] for r in inner]
+        out.append(Tree(len(leaves).bit_length() - 1, [r["fid"] for r in inner], [math.inf if r["threshold"] is None else r["threshold"] for r in inner], [r["weight"] for r in leaves], categories if any(c is not None for c in categories) else []))
     return out
 
 
@@ -95,11 +103,17 @@ def _fold(own: list[Tree], features: Column, start: Column) -> Column:
     fids = literal_array([f for t in own for f in t.fids], "int")
     cuts = literal_array([x for t in own for x in t.thresholds], "float")
     weights = literal_array([w for t in own for w in t.weights], "double")
+    # categories are never negative, so -1 marks places where the threshold decides
+    equal = literal_array([-1 if c is None else c for t in own for c in t.categories or [None] * inner], "int") if any(t.categories for t in own) else None
 
     def leaf(k: Column) -> Column:
         def step(n: Column, _: Column) -> Column:
             at = k * inner + n
-            return (2 * n + F.when(F.get(features, F.get(fids, at)) < F.get(cuts, at), 1).otherwise(2)).cast("int")
+            value = F.get(features, F.get(fids, at))
+            left = value < F.get(cuts, at)
+            if equal is not None:
+                left = F.when(F.get(equal, at) >= 0, value == F.get(equal, at)).otherwise(left)
+            return (2 * n + F.when(left, 1).otherwise(2)).cast("int")
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step) - inner
 
@@ -110,27 +124,39 @@ def _fold(own: list[Tree], features: Column, start: Column) -> Column:
 COLUMN_LEVELS = 24
 
 
-def add_margin(df: DataFrame, trees: list[Tree], features: Column, base: float, out: str = "margin", by_column: bool | None = None) -> DataFrame:
-    """Adds the margin: by one expression for small ensembles, else by Arrow batches, a level of all rows at a time. No shuffle either way, and both work on streams."""
+def add_margin(df: DataFrame, trees: list[Tree], features: Column, base: float, out: str = "margin", by_column: bool | None = None, labels: int = 1) -> DataFrame:
+    """Adds the margin: by one expression for small ensembles, else by Arrow batches, a level of all rows at a time. No shuffle either way, and both work on streams.
+
+    With several labels, trees belong to them in turn, and the margin is an array."""
     if by_column if by_column is not None else sum(t.levels for t in trees) <= COLUMN_LEVELS:
-        return df.withColumn(out, margin_column(trees, features, base))
-    arrays = [(np.array(t.fids, np.int64), np.array(t.thresholds, np.float32), np.array(t.weights), t.levels) for t in trees]
+        parts = [margin_column(trees[k::labels], features, base) for k in range(labels)]
+        return df.withColumn(out, parts[0] if labels == 1 else F.array(*parts))
+    # compared in double precision, which holds both 32-bit values and categories; -1 marks places where the threshold decides
+    arrays = [(np.array(t.fids, np.int64), np.array([x if c is None else c for x, c in zip(t.thresholds, t.categories or [None] * len(t.fids))]), np.array(t.weights), t.levels, np.array([c is not None for c in t.categories]) if t.categories else None) for t in trees]
     kept = [c for c in df.columns if c != out]
+    kind = T.DoubleType() if labels == 1 else T.ArrayType(T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, n = flat_lists(batch.column("_x"))
-            m = np.full(n, float(base))
-            for fids, cuts, weights, levels in arrays if n else ():
-                m += weights[node_of_array(x, fids, cuts, levels) - len(fids)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(m)], names=[*kept, out])
+            m = np.full((n, labels), float(base))
+            for k, (fids, cuts, weights, levels, category) in enumerate(arrays if n else ()):
+                m[:, k % labels] += weights[node_of_array(x, fids, cuts, levels, category) - len(fids)]
+            made = pa.array(m[:, 0]) if labels == 1 else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * labels), pa.array(m.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, out])
 
-    return df.select(*kept, features.alias("_x")).mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, T.StructField(out, T.DoubleType())]))
+    return df.select(*kept, features.alias("_x")).mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, T.StructField(out, kind)]))
 
 
 def base_margin(config: Configuration) -> float:
     return into_margin(config.objective, config.tree.initial_y)
 
 
+def start_margin(config: Configuration) -> Column:
+    """The margin before any tree: a number, or an array of them by label."""
+    base, labels = F.lit(float(base_margin(config))), config.tree.labels_count
+    return base if labels == 1 else F.array(*[base] * labels)
+
+
 def prediction(config: Configuration, margin: Column) -> Column:
     return from_margin(config.objective, margin)

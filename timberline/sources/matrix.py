@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,7 +16,7 @@ class FeatureMatrix:
     """A DataFrame seen as a dense float32 matrix.
 
     `features` lists numeric columns (or is the name of one array column, then `width` is needed unless it is to be counted); the place in it is a feature's id. `categories` lists
-    integer columns, whose ids follow. `y`, `labels` and `weights` are names or Columns. Nulls are refused unless `missing` says what stands for them."""
+    integer columns of values from 0, whose ids follow. `y`, `labels` and `weights` are names or Columns. Nulls are refused unless `missing` says what stands for them."""
 
     def __init__(
         self,
@@ -42,16 +41,17 @@ class FeatureMatrix:
         fill = (lambda c: F.coalesce(c, F.lit(float(missing)).cast("float"))) if missing is not None else (lambda c: c)
         if isinstance(features, str):
             self.features = fill_array(F.col(features).cast("array<float>"), missing)
-            self.width = width or df.select(F.size(features)).first()[0]
-            self.names = [f"{features}[{i}]" for i in range(self.width)]
+            self.numeric_width = width or df.select(F.size(features)).first()[0]
+            self.names = [f"{features}[{i}]" for i in range(self.numeric_width)]
         else:
             for c in features:
                 if not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)):
                     raise TreesError(f"feature column {c} must be numeric")
-            self.names, self.width = list(features), len(features)
+            self.names, self.numeric_width = list(features), len(features)
             self.features = F.array(*(fill(F.col(c).cast("float")) for c in features))
-        if not self.width:
+        if not self.numeric_width:
             raise TreesError("no features")
+        self.width = self.numeric_width + len(self.category_names)
         column = lambda x: F.col(x) if isinstance(x, str) else x
         self.y = None if y is None and labels is None else column(y if y is not None else labels).cast("float")
         self.labels = None if labels is None else column(labels).cast("int")
@@ -62,19 +62,28 @@ class FeatureMatrix:
             self._check()
 
     def _check(self) -> None:
-        parts = [F.count_if(F.exists(self.features, lambda x: x.isNull()) | (F.size(self.features) != self.width)).alias("features")]
+        parts = [F.count_if(F.exists(self.features, lambda x: x.isNull()) | (F.size(self.features) != self.numeric_width)).alias("features")]
         for name, c in (("y", self.y), ("weights", self.weights)):
             if c is not None:
                 parts.append(F.count_if(c.isNull()).alias(name))
-        parts += [F.count_if(F.col(c).isNull()).alias(c) for c in self.category_names]
+        parts += [F.count_if(F.col(c).isNull() | (F.col(c) < 0)).alias(c) for c in self.category_names]
         for name, n in self.df.agg(*parts).first().asDict().items():
             if n:
-                raise TreesError(f"{n} rows have a null or a wrong number of values in {name}")
+                raise TreesError(f"{n} rows have a null, a negative category or a wrong number of values in {name}")
 
     @property
     def categories(self) -> Column:
         return F.array(*(F.col(c).cast("int") for c in self.category_names)) if self.category_names else F.array().cast("array<int>")
 
+    @property
+    def values(self) -> Column:
+        """Features and categories in one array, in double precision, which holds both exactly."""
+        return F.concat(self.features.cast("array<double>"), self.categories.cast("array<double>"))
+
+    def category_sizes(self) -> list[int]:
+        """One more than the greatest code of each category column."""
+        return [1 + (x or 0) for x in self.df.agg(*(F.max(c) for c in self.category_names)).first()]
+
     @property
     def labels_count(self) -> int:
         return 1 if self.labels is None else int(self.df.agg(F.max(self.labels)).first()[0]) + 1
@@ -119,8 +128,3 @@ class FeatureMatrix:
 def fill_array(c: Column, missing: float | None) -> Column:
     return c if missing is None else F.transform(c, lambda x: F.coalesce(x, F.lit(float(missing)).cast("float")))
 
-
-def ignored(matrix: FeatureMatrix) -> None:
-    """Says once what training does not use."""
-    if matrix.category_names:
-        warnings.warn("category columns take no part in training of numeric trees; see operators.categories", stacklevel=3)
