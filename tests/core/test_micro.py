@@ -1,6 +1,7 @@
 """Small cases with known results, and properties that hold for any data."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from timberline.operators.histogram import histogram, histogram_by_task, subtrac
 from timberline.operators.routing import partition_index, split_bit
 from timberline.operators.sampling import ColumnSampler
 from timberline.operators.splits import best_category_splits, best_splits, candidates, category_splits, with_gain
+from timberline.sources.tables import shared_dir
 from timberline.streaming.scoring import score_stream
 
 FREE = Penalties(lambda_=0.0, min_child_weight=0.0, min_leaf_size=0)
@@ -147,6 +149,21 @@ def test_appending_is_predicting(spark, noisy):
     assert mse < np.mean((0.5 - y) ** 2)
 
 
+def test_closing_deletes_tables(spark, noisy):
+    x, y = noisy
+    model = train({"tree": {"max_depth": 1}, "internals": {"hist_size": 8}}, FeatureMatrix.from_arrays(spark, x, y=y), 9)
+    paths = [t.settled_at for t in model._tables]
+    assert len(paths) == 2 and all(os.path.exists(p) for p in paths)
+    model.close()
+    assert not any(os.path.exists(p) for p in paths) and len(model.trees) == 9
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    conf, context = type("Conf", (), {"get": lambda self, k, d=None: d})(), type("Context", (), {"master": "spark://host:7077"})()
+    with pytest.raises(TreesError):
+        shared_dir(type("Session", (), {"conf": conf, "sparkContext": context})())
+
+
 def test_custom_gradients(spark, noisy):
     x, y = noisy
     config = {"tree": {"max_depth": 2}, "internals": {"hist_size": 16}}

@@ -15,7 +15,7 @@ from timberline.operators.sampling import ColumnSampler
 from timberline.plans.grower import Grown, grow
 from timberline.plans.model import Tree, add_margin, base_margin, dump_json, load_json, prediction, start_margin
 from timberline.sources.matrix import FeatureMatrix
-from timberline.sources.tables import settled
+from timberline.sources.tables import discarded, settled
 
 #: Trees after which the training margin is written out anew, so that plans stay short.
 SETTLE = 8
@@ -28,6 +28,7 @@ class Model:
         self.config = Configuration.parse(config)
         self.matrix, self.trees = matrix, []
         self._rows: DataFrame | None = None
+        self._tables: list[DataFrame] = []
         self._fresh: list[Grown] = []
 
     # training
@@ -60,7 +61,8 @@ class Model:
 
     def _hold(self, rows: DataFrame) -> None:
         old = self._rows
-        self._rows = settled(rows, "rows").persist(StorageLevel.MEMORY_AND_DISK)
+        self._tables.append(settled(rows, "rows"))
+        self._rows = self._tables[-1].persist(StorageLevel.MEMORY_AND_DISK)
         self._fresh = []
         if old is not None:
             old.unpersist()
@@ -111,10 +113,13 @@ class Model:
         return self._rows.withColumn("margin", self._margin())
 
     def close(self) -> None:
-        """Frees the cached training rows."""
+        """Frees the cached training rows and deletes their tables; what training_rows() gave can't be read after that."""
         if self._rows is not None:
             self._rows.unpersist()
             self._rows = None
+        for table in self._tables:
+            discarded(table)
+        self._tables.clear()
 
     # scoring
 

@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timberline.errors import TreesError
+
 _own: dict[int, str] = {}
+_marked: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,12 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[key]
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet and reads it back: lineage ends there, and a lost executor costs nothing but its own tasks."""
+    """Writes df as Parquet and reads it back: lineage ends there, and a lost executor costs nothing but its own tasks. The tables of an application are in a folder that goes when its driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/timberline-trees-{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        place, at = _file_system(spark, own)
+        place.mkdirs(at)
+        place.deleteOnExit(at)
+        _marked.add(own)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discarded(table: DataFrame) -> None:
+    """Deletes a settled table before that."""
+    place, at = _file_system(table.sparkSession, table.settled_at)
+    place.delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
