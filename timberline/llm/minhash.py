@@ -7,7 +7,7 @@ a probability of the weighted Jaccard similarity. Points are generated in ascend
 
 Signatures are banded (20 bands of 5 registers find a pair at similarity 0.8 with probability 0.9997). Equal multisets are one class. Within a bucket, classes are compared with a leader; after components
 are merged, another leader drawn anew meets classes of other components. What then still holds several components is compared whole, so that no link between components is lost: buckets of up to
-SMALL classes by their pairs in different components, larger ones in blocks: overlapping buckets are put together, dealt in blocks of bounded size, and each pair of blocks is one product of
+SMALL classes by their pairs in different components, larger ones in blocks: a bucket is dealt in blocks of bounded size, and each pair of its blocks is one product of
 incidence matrices, from which only components leave. Every link is verified by multiset overlap.
 
 Rows: a text without words (or null) is a group of its own; very long texts count whole; a null doc_id comes last in its group; rows that repeat doc_id and text share
@@ -208,17 +208,14 @@ def least_labels(linked: np.ndarray) -> np.ndarray:
 
 
 def _dense_links(member: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect what is connected within large buckets (key, c), compared whole."""
-    star = member.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("b"))
-    group = components(member.join(star, member["key"] == star["k"]).select(F.col("c").alias("a"), "b").where("a <> b"))
-    own = group.join(classes, F.col("id") == F.col("c")).select("c", "component", "size")
-    blocks = own.groupBy(F.col("component").alias("g")).agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("many"))
-    blocks = blocks.select("g", F.greatest("blocks", F.ceil(F.col("many") / 1024).cast("int")).alias("blocks"))
-    own = stored(own.join(blocks, F.col("component") == F.col("g")).drop("g"), "dense")
+    """(a, b): links that connect what is connected within large buckets (key, c), each compared whole: its classes are dealt to blocks of bounded size, and each pair of blocks to a task."""
+    sized = member.join(classes.select(F.col("c").alias("d"), "size"), F.col("c") == F.col("d")).drop("d")
+    blocks = sized.groupBy(F.col("key").alias("g")).agg(F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / 1024)).cast("int").alias("blocks"))
+    own = stored(sized.join(blocks, F.col("key") == F.col("g")).drop("g"), "dense")
     sets = sets.withColumnRenamed("c", "s")
     block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    cell = own.select("c", "component", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    cell = cell.select("c", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, F.col("c") == F.col("s")).drop("s")
+    cell = own.select("c", "key", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cell = cell.select("c", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, F.col("c") == F.col("s")).drop("s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list) -> pa.RecordBatch:
@@ -230,7 +227,7 @@ def _dense_links(member: DataFrame, classes: DataFrame, sets: DataFrame, similar
         key, held = None, []
         for batch in batches:
             for at in range(batch.num_rows):
-                here = tuple(batch.column(c)[at].as_py() for c in ("component", "i", "j"))
+                here = tuple(batch.column(c)[at].as_py() for c in ("key", "i", "j"))
                 if held and here != key:
                     yield solve(held)
                     held = []
@@ -239,7 +236,7 @@ def _dense_links(member: DataFrame, classes: DataFrame, sets: DataFrame, similar
         if held:
             yield solve(held)
 
-    return stored(cell.repartition(partitions(member.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long").distinct(), "dense-links")
+    return stored(cell.repartition(partitions(member.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct(), "dense-links")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
