@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import read, steps
+from timberline.llm.common import bounded_batches, read, steps
 
 # How the vocabulary file's pre-tokenizer splits a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -115,6 +115,7 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", remembere
 
     `vocabulary` is the path of a byte-level BPE file in the tokenizers library's JSON format. The driver reads it (its size is that of the
     vocabulary, not of the data) and broadcasts it. No shuffle: a narrow map over the scan."""
+    bounded_batches(df.sparkSession)
     with open(vocabulary, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     rest = [c for c in df.columns if c not in (text, "ids", "decoded")]

@@ -27,7 +27,7 @@ BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches in bytes, unless the session already does so more tightly. Batches then stay small however long the texts are."""
+    """Bounds Arrow batches in bytes, unless the session already does so more tightly. Batches then stay small however long the texts are. Every operator that hands texts to Python calls this first."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))

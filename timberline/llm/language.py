@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import beside, read, steps, text_buffer
+from timberline.llm.common import beside, bounded_batches, read, steps, text_buffer
 
 #: Hashed feature buckets.
 WIDTH = 2048
@@ -138,6 +138,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit_language_model(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 300, most_rows: int = 4000, most_languages: int = 64) -> LanguageModel:
     """Learns from a bounded sample: of the `most_languages` most frequent labels, `per_language` rows each (fewer if that would be over `most_rows` in all), those with the
     least hash of their id. Counts by language first give the share to draw, so nothing is sorted or gathered beyond the sample. Each pair's machine is trained in a task of its own."""
+    bounded_batches(df.sparkSession)
     learn = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(doc_id)).alias("draw"))
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
@@ -187,6 +188,7 @@ def _trained(spark: SparkSession, x: np.ndarray, y: np.ndarray) -> LanguageModel
 
 def predict_language(df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds lang_pred and score: a narrow map over the scan."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in df.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
 

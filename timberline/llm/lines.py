@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import Rolling, beside, dealt, mix64, read, scratch, steps, stored, text_buffer
+from timberline.llm.common import Rolling, beside, bounded_batches, dealt, mix64, read, scratch, steps, stored, text_buffer
 
 LEAST = 1
 #: Code points from which a line without a word takes part too.
@@ -193,6 +193,7 @@ def dropped_lines(df: DataFrame, text: str = "text", least: int = LEAST) -> Data
 
 def dedup_lines(df: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """Takes the dropped lines out of `text`; adds n_lines (before), n_dropped and dropped (their numbers from 0)."""
+    bounded_batches(df.sparkSession)
     new = ("n_lines", "n_dropped", "dropped")
     other = {c: f"kept_{i}" for i, c in enumerate(df.columns) if c not in (*new, text, "doc_id")}
     inner = df.select("doc_id", F.col(text).alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in other.items()))

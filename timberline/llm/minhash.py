@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Rolling, beside, components, dealt, mix64, partitions, read, scratch, steps, stored, text_buffer, words
+from timberline.llm.common import Rolling, beside, bounded_batches, components, dealt, mix64, partitions, read, scratch, steps, stored, text_buffer, words
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -241,6 +241,7 @@ def _dense_links(member: DataFrame, classes: DataFrame, sets: DataFrame, similar
 
 def near_duplicates(df: DataFrame, text: str = "text", size: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, class_id, kept), a row per document: class_id is the least doc_id of its group, kept the one document (and rows that repeat it) that stays."""
+    bounded_batches(df.sparkSession)
     with scratch(df.sparkSession) as keep:
         return _near_duplicates(df, text, size, similarity, bands, rows, keep)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Rolling, mix64, read, scratch, steps, stored, text_buffer, words
+from timberline.llm.common import Rolling, bounded_batches, mix64, read, scratch, steps, stored, text_buffer, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Documents that a group needs for thresholds of its own, and the ratio of a sketch's buckets.
@@ -75,6 +75,7 @@ def count_text(column: pa.Array, rolling: Rolling) -> dict[str, np.ndarray]:
 
 def quality_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces `text` by its counts: a narrow map over the scan."""
+    bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text and c not in COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import Rolling, dealt, mix64, partitions, read, scratch, steps, stored, text_buffer
+from timberline.llm.common import Rolling, bounded_batches, dealt, mix64, partitions, read, scratch, steps, stored, text_buffer
 
 LENGTH, GRAM = 400, 304
 #: Classes of an anchor above which its windows are counted by hash, and strings of a collection.
@@ -282,6 +282,7 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Replaces `text` by kept (binary: the remaining bytes), n_bytes (before), and removed: maximal runs (start, stop) of removed bytes."""
+    bounded_batches(df.sparkSession)
     new = ("n_bytes", "removed", "kept")
     other = {c: f"kept_{i}" for i, c in enumerate(df.columns) if c not in (*new, text, "doc_id")}
     inner = df.select("doc_id", F.col(text).alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in other.items()))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import read, steps
+from timberline.llm.common import bounded_batches, read, steps
 
 KINDS = ("assign", "access", "hex", "model")
 
@@ -235,6 +235,7 @@ def trained(recall: float = 0.98, findings: int = 4000) -> Network:
 
 def find_secrets(df: DataFrame, text: str = "text", recall: float = 0.98) -> DataFrame:
     """Replaces `text` by findings: array of (kind, start, stop, score), by start and then kind; start and stop in code points, stop exclusive. A narrow map over the scan."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(trained(recall))
     rest = [c for c in df.columns if c not in (text, "findings")]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import components, if_small, mix64, partitions, read, stored
+from timberline.llm.common import bounded_batches, components, if_small, mix64, partitions, read, stored
 
 COSINE, COUNT, MISS = 0.95, 2, 5e-4
 #: Half of the mean number of vectors that a cell should hold, and lists whose cells elect leaders.
@@ -194,6 +194,7 @@ def _collisions(lists: DataFrame, width: float) -> DataFrame:
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, hot: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
+    bounded_batches(df.sparkSession)
     rows = stored(_unit_rows(df, vec_id, vector), "units")
     at = F.struct(F.col("vec_id").isNull().alias("last"), F.col("vec_id").alias("id"))
     classes = rows.where("unit is not null").groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(at).alias("at"), F.first("unit").alias("unit")).withColumn("c", F.monotonically_increasing_id())
