@@ -101,6 +101,15 @@ def test_softmax_by_hand(spark, iris):
     model.close()
 
 
+def test_classifier_of_three_classes(spark, iris):
+    m = FeatureMatrix.from_arrays(spark, iris, labels=KIND)
+    fit = TreesClassifier(labels_count=3, max_depth=2, n_estimators=3, learning_rate=0.5, verbosity=0, min_leaf_size=1, colsample_bytree=1.0, l1=0.0, method="exact").fit(m, FeatureMatrix.from_arrays(spark, iris, labels=KIND))
+    p = np.array(predictions(fit.predict(m)))
+    assert p.shape == (150, 3) and np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == KIND).mean() > 0.9
+    assert len(fit.model.trees) == 9 and fit.best_round == 2 and np.isclose(fit.scores[-1], -np.log(p[np.arange(150), KIND]).mean())
+    fit.model.close()
+
+
 def test_softmax_needs_labels(spark, iris):
     config = {"objective": 3, "tree": {"labels_count": 2, "max_depth": 1}}
     with pytest.raises(TreesError):

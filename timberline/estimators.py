@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
-from timberline.config import EXACT, HIST, LINEAR, LOGISTIC, Configuration, Internals, TreeParam
+from timberline.config import EXACT, HIST, LINEAR, LOGISTIC, SOFTMAX, Configuration, Internals, TreeParam
 from timberline.errors import TreesError
-from timberline.functions.metrics import auc_table, mse
+from timberline.functions.metrics import auc_table, log_loss, mse
 from timberline.plans.trainer import Model
 from timberline.sources.matrix import FeatureMatrix
 
@@ -24,6 +25,10 @@ def negative_auc(df: DataFrame) -> float:
     return -auc_table(df).first()[0]
 
 
+def mean_log_loss(df: DataFrame) -> float:
+    return df.agg(log_loss()).first()[0]
+
+
 class _Estimator:
     objective, metric = LINEAR, staticmethod(mean_squared_error)
 
@@ -89,6 +94,14 @@ class TreesRegressor(_Estimator):
 
 
 class TreesClassifier(_Estimator):
-    """Logistic objective; predictions are the positive class's probabilities, the metric is the negative area under the ROC curve."""
+    """Logistic objective; predictions are the positive class's probabilities, the metric is the negative area under the ROC curve.
+
+    With labels_count of 2 or more (an extension), the softmax objective: predictions are arrays of the classes' probabilities, the metric is the mean log loss."""
 
     objective, metric = LOGISTIC, staticmethod(negative_auc)
+
+    def __init__(self, *given, labels_count: int = 1, **named):
+        super().__init__(*given, **named)
+        if labels_count > 1:
+            self.config = replace(self.config, objective=SOFTMAX[0], tree=replace(self.config.tree, labels_count=labels_count))
+            self.metric = mean_log_loss

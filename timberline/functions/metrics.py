@@ -17,6 +17,11 @@ def rmse(y: str = "y", prediction: str = "prediction") -> Column:
     return F.sqrt(mse(y, prediction))
 
 
+def log_loss(y: str = "y", prediction: str = "prediction") -> Column:
+    """Of class labels and arrays of probabilities."""
+    return F.avg(-F.ln(F.get(prediction, F.col(y).cast("int"))))
+
+
 def auc_table(df: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
     """One row with auc, by rank sums with ties halved. Rows are first counted per distinct prediction; these are dealt to ranges of about equal size however scores are spread, and the ranges'
     totals (a row per range) carry counts across, so no task sorts everything."""
