@@ -97,7 +97,9 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Sums by a key are stored before they are joined by it, too: then both sides of the join are plain shuffles, of which Spark splits hot keys."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
@@ -262,7 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while labels is None or edge.limit(1).count():
         both = edge.union(edge.select("b", "a"))
-        near = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("up"))
+        near = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("up")), "near")
         on = near.select(F.col("id").alias("at"), F.col("up").alias("on"))
         up = stored(near.join(on, near["up"] == on["at"], "left").select("id", F.coalesce("on", "up").alias("up")), "up")
         low, high = (up.select(F.col("id").alias(f"i{k}"), F.col("up").alias(f"u{k}")) for k in (0, 1))

@@ -161,7 +161,7 @@ def _neighbourhood(texts: DataFrame) -> DataFrame:
 def near_lines(distinct: DataFrame, df: DataFrame, text: str) -> DataFrame:
     """(h1, h2, near): for a distinct line the earliest place of another one within one edit, where that is earlier than its own; verified."""
     keyed = distinct.select("h1", "h2", "first", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")), "shared")
     wanted = keyed.join(shared, keyed["key"] == shared["k"]).groupBy("h1", "h2", "first").agg(F.collect_set("key").alias("keys"))
     wanted = stored(wanted.groupBy(F.col("first.doc").alias("w_doc"), F.col("first.text_hash").alias("w_hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2", "keys")).alias("wanted")), "candidates")
     texts = stored(_candidate_texts(df, wanted, text).dropDuplicates(["h1", "h2"]), "candidate-lines")

@@ -252,7 +252,7 @@ def _near_duplicates(df: DataFrame, text: str, size: int, similarity: float, ban
     classes = features.where("size > 0").groupBy("f1", "f2").agg(F.min(at).alias("at"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     bucket = classes.select("c", "size", F.explode("keys").alias("key"))
-    shared = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
+    shared = stored(bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")), "shared")
     bucket = stored(bucket.join(shared, bucket["key"] == shared["k"]).drop("k"), "buckets")
     close = F.least("size", "l_size") >= similarity * F.greatest("size", "l_size")
     every = stored(bucket.select(F.col("c").alias("x")).distinct(), "bucketed")
@@ -269,11 +269,11 @@ def _near_duplicates(df: DataFrame, text: str, size: int, similarity: float, ban
     for turn in range(3):
         member = bucket.join(label.withColumnRenamed("c", "l"), bucket["c"] == F.col("l")).drop("l")
         if turn:  # only buckets that still hold several components
-            open_ = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high").select(F.col("key").alias("k"), (F.col("n") <= SMALL).alias("small"))
+            open_ = stored(member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high").select(F.col("key").alias("k"), (F.col("n") <= SMALL).alias("small")), "open-keys")
             member = stored(member.join(open_, member["key"] == open_["k"]).drop("k"), "open")
         if turn < 2:
             lead = F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("draw"), F.col("c").alias("lead"), F.col("size").alias("l_size"), F.col("group").alias("l_group")))
-            lead = member.groupBy(F.col("key").alias("k")).agg(lead.alias("l")).select("k", "l.*")
+            lead = stored(member.groupBy(F.col("key").alias("k")).agg(lead.alias("l")).select("k", "l.*"), "leaders")
         else:
             if member.where("not small").limit(1).count():
                 label = merged(_dense_links(member.where("not small").select("key", "c"), classes, sets, similarity))
@@ -290,7 +290,7 @@ def _near_duplicates(df: DataFrame, text: str, size: int, similarity: float, ban
         label = merged(_verified(pair, sets, similarity))
     grouped = classes.join(label.withColumnRenamed("c", "l"), classes["c"] == F.col("l"), "left").select("f1", "f2", "at", F.coalesce("group", "c").alias("group"))
     grouped = stored(grouped, "grouped")
-    least = grouped.groupBy(F.col("group").alias("g")).agg(F.min("at").alias("least"))
+    least = stored(grouped.groupBy(F.col("group").alias("g")).agg(F.min("at").alias("least")), "least")
     grouped = stored(grouped.join(least, grouped["group"] == least["g"]).select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "least"), "classes-of")
     features, grouped = keep(features), keep(grouped)
     out = features.join(grouped, (features["f1"] == F.col("c1")) & (features["f2"] == F.col("c2")) & (features["size"] > 0), "left")

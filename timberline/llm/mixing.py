@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.llm.common import beside, read, stored
+from timberline.llm.common import beside, read, scratch, stored
 
 #: Classes of rank in which words are summed before the class that holds the cut is sorted.
 CLASSES = 4096
@@ -57,6 +57,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
 
 def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
     """From stored rows (doc_id, source, size): per source its size, target, whole copies, and the probability and cut rank of large and of other documents."""
+    with scratch(sized.sparkSession) as keep:
+        return keep(_mix_plan(sized, weights, most))
+
+
+def _mix_plan(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     t = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     t = stored(t.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "targets").withColumnRenamed("source", "s")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import bounded_batches, components, if_small, mix64, partitions, read, stored
+from timberline.llm.common import bounded_batches, components, if_small, mix64, partitions, read, scratch, stored
 
 COSINE, COUNT, MISS = 0.95, 2, 5e-4
 #: Half of the mean number of vectors that a cell should hold, and lists whose cells elect leaders.
@@ -122,6 +122,7 @@ def _clumps(classes: DataFrame, bits: int, cosine: float, hot: int) -> DataFrame
     own = stored(_lists(classes.withColumn("clump", F.lit(None).cast("long")), bits, LEADING).select("list", "cell", "c"), "leading")
     mark = [F.min(F.struct(F.xxhash64(F.lit(s), "c").alias("draw"), "c"))["c"] for s in range(4)]
     cells = own.groupBy("list", "cell").agg(F.count("*").alias("n"), F.array(*mark).alias("leads")).where(F.col("n") > hot).select(F.col("list").alias("l"), F.col("cell").alias("k"), F.explode(F.array_distinct("leads")).alias("lead"))
+    cells = stored(cells, "hot-cells")
     near = stored(own.join(cells, (own["list"] == F.col("l")) & (own["cell"] == F.col("k"))).select("c", "lead").distinct(), "led")
     units = classes.select(F.col("c").alias("x"), F.col("unit").alias("u"))
 
@@ -195,6 +196,15 @@ def _collisions(lists: DataFrame, width: float) -> DataFrame:
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, hot: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
     bounded_batches(df.sparkSession)
+    with scratch(df.sparkSession) as keep:
+        rows, info = map(keep, _linked(df, vec_id, vector, cosine, hot))
+    out = rows.join(info, (rows["f1"] == F.col("i1")) & (rows["f2"] == F.col("i2")) & rows["unit"].isNotNull(), "left")
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def _linked(df: DataFrame, vec_id: str, vector: str, cosine: float, hot: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (vec_id, f1, f2, unit), and links and component of each class (i1, i2); both stored."""
     rows = stored(_unit_rows(df, vec_id, vector), "units")
     at = F.struct(F.col("vec_id").isNull().alias("last"), F.col("vec_id").alias("id"))
     classes = rows.where("unit is not null").groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(at).alias("at"), F.first("unit").alias("unit")).withColumn("c", F.monotonically_increasing_id())
@@ -214,11 +224,9 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     found = components(links.select("a", "b").union(clumps.select("m", "clump")))
     info = classes.join(inside, F.col("c") == F.col("m"), "left").join(outside, F.col("c") == F.col("k"), "left").join(found, F.col("c") == F.col("id"), "left")
     info = stored(info.select("f1", "f2", classes["at"], (F.coalesce("inside", "n") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("group")), "vector-info")
-    least = info.groupBy(F.col("group").alias("g")).agg(F.min("at").alias("least"))
+    least = stored(info.groupBy(F.col("group").alias("g")).agg(F.min("at").alias("least")), "least")
     info = stored(info.join(least, info["group"] == least["g"]).select(F.col("f1").alias("i1"), F.col("f2").alias("i2"), "n_links", F.col("least.id").alias("component")), "vector-components")
-    out = rows.join(info, (rows["f1"] == F.col("i1")) & (rows["f2"] == F.col("i2")) & rows["unit"].isNotNull(), "left")
-    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return rows, info
 
 
 #: All pairs by brute force.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import bounded_batches, dealt, fresh_path, read
+from timberline.llm.common import bounded_batches, dealt, fresh_path, read, stored
 
 #: Records of a file (a reading task holds a file's compressed bytes), and bytes that the reader decompresses at a time.
 PER_FILE, BLOCK = 8192, 64 << 10
@@ -173,12 +173,13 @@ def records(source, payload: bool) -> Iterator[dict]:
 def write_warc(df: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, folder: str | None = None) -> str:
     """Writes the archives into a new folder (of its own in the shared one, if none is given) and returns it. Equal payloads of at least `least` bytes are written once.
 
-    Only digests seen twice or more are joined back, each as one row; the join's other side is the scan, whose skew on a hot digest Spark can split."""
+    Only digests seen twice or more are joined back, each as one stored row, so that the join's sides are plain shuffles and Spark can split a hot digest's pages."""
     bounded_batches(df.sparkSession)
     folder = folder or fresh_path(df.sparkSession, "warc")
     body = F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b""))
     rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("sha1", F.sha1("payload"))
     again = rows.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("again"), "first")
+    again = stored(again, "again")
     rows = rows.join(dealt(again), rows["sha1"] == again["again"], "left").select("page_id", "url", "payload", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull() & F.col("page_id").isNull()), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
