@@ -243,18 +243,6 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(at, starts, side="right") - 1
 
 
-#: Bytes up to which a stored table is broadcast.
-SMALL_BYTES = 32 << 20
-
-
-def if_small(table: DataFrame, row_bytes: int, items: str | None = None, item_bytes: int = 0) -> DataFrame:
-    """A stored table, marked for broadcast if it is under SMALL_BYTES; else as it is, for a shuffled join. Its size is counted: rows of fixed width, and the items of its array column."""
-    size = F.count("*") * row_bytes
-    if items:
-        size = size + F.coalesce(F.sum(F.size(items)), F.lit(0)) * item_bytes
-    return F.broadcast(table) if table.agg(size).first()[0] <= SMALL_BYTES else table
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) by contraction: (id, component), component the smallest id reachable; ids without an edge to another are left out.
 

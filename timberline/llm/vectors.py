@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import bounded_batches, components, if_small, mix64, partitions, read, scratch, stored
+from timberline.llm.common import bounded_batches, components, mix64, partitions, read, scratch, stored
 
 COSINE, COUNT, MISS = 0.95, 2, 5e-4
 #: Half of the mean number of vectors that a cell should hold, and lists whose cells elect leaders.
@@ -128,7 +128,7 @@ def _clumps(classes: DataFrame, bits: int, cosine: float, hot: int) -> DataFrame
 
     def within(pairs: DataFrame, name: str) -> DataFrame:
         leads = stored(pairs.select("lead").distinct().join(units, F.col("lead") == F.col("x")).select(F.col("lead").alias("y"), F.col("u").alias("ub")), "leaders")
-        both = pairs.join(units, F.col("c") == F.col("x")).select("c", "lead", F.col("u").alias("ua")).join(if_small(leads, 600), F.col("lead") == F.col("y")).drop("y")
+        both = pairs.join(units, F.col("c") == F.col("x")).select("c", "lead", F.col("u").alias("ua")).join(leads, F.col("lead") == F.col("y")).drop("y")
         return stored(_dots(both, half), name)
 
     member = within(near, "near-leaders").groupBy("c").agg(F.min("lead").alias("lead"))
@@ -212,7 +212,7 @@ def _linked(df: DataFrame, vec_id: str, vector: str, cosine: float, hot: int | N
     many = classes.count()
     bits, lists, width = plan_lists(many, cosine)
     clumps = _clumps(classes, bits, cosine, hot or max(64, 4 * 2 * CELL))
-    listed = _lists(classes.join(if_small(clumps, 16), F.col("c") == F.col("m"), "left"), bits, lists)
+    listed = _lists(classes.join(clumps, F.col("c") == F.col("m"), "left"), bits, lists)
     pairs = _collisions(listed, width).groupBy("a", "b").agg(F.count("*").alias("hits")).where(F.col("hits") >= COUNT).select("a", "b")
     left, right = (classes.select(F.col("c").alias(f"c{s}"), F.col("unit").alias(f"u{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
     links = pairs.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb")).select("a", "b", "na", "nb", "ua", "ub")
@@ -220,7 +220,7 @@ def _linked(df: DataFrame, vec_id: str, vector: str, cosine: float, hot: int | N
     outside = links.select(F.col("a").alias("k"), F.col("nb").alias("w")).union(links.select("b", "na")).groupBy("k").agg(F.sum("w").alias("outside"))
     weighed = clumps.join(classes.select("c", "n"), F.col("m") == F.col("c"))
     sizes = weighed.groupBy(F.col("clump").alias("q")).agg(F.sum("n").alias("inside"))
-    inside = stored(clumps.join(if_small(stored(sizes, "clump-sizes"), 16), F.col("clump") == F.col("q")).select("m", "clump", "inside"), "inside")
+    inside = stored(clumps.join(stored(sizes, "clump-sizes"), F.col("clump") == F.col("q")).select("m", "clump", "inside"), "inside")
     found = components(links.select("a", "b").union(clumps.select("m", "clump")))
     info = classes.join(inside, F.col("c") == F.col("m"), "left").join(outside, F.col("c") == F.col("k"), "left").join(found, F.col("c") == F.col("id"), "left")
     info = stored(info.select("f1", "f2", classes["at"], (F.coalesce("inside", "n") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("group")), "vector-info")
