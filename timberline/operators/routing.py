@@ -39,6 +39,28 @@ def node_of(codes: Column, fids: Sequence[int], cuts: Sequence, depth: int, kind
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
 
 
+#: Splits up to which trees are written out as nested conditions, which Spark compiles (a method of the JVM has bounded size); folds over arrays it interprets for every row.
+WRITTEN_OUT = 32
+
+
+def leaf_written_out(codes: Column, fids: Sequence[int], cuts: Sequence, weights: Sequence[float], kind: str, first_category: int | None = None, equal: Sequence[int | None] = ()) -> Column:
+    """The weight of the leaf that node_of leads to, as nested conditions. `equal` has the categories of the places that ask for equality, where these are not told by `first_category`."""
+    inner = len(fids)
+
+    def below(n: int) -> Column:
+        if n >= inner:
+            return F.lit(float(weights[n - inner]))
+        value, cut = F.get(codes, F.lit(int(fids[n]))), cuts[n].item() if isinstance(cuts[n], np.generic) else cuts[n]
+        if equal and equal[n] is not None:
+            left = value == F.lit(int(equal[n]))
+        else:
+            cut = F.lit(cut).cast(kind)
+            left = value == cut if first_category is not None and fids[n] >= first_category else value <= cut if kind == "int" else value < cut
+        return F.when(left, below(2 * n + 1)).otherwise(below(2 * n + 2))
+
+    return below(0)
+
+
 def node_of_array(x: np.ndarray, fids: np.ndarray, cuts: np.ndarray, depth: int, category: np.ndarray | None = None) -> np.ndarray:
     """node_of over a matrix; bins and values alike. `category` says which nodes ask for equality."""
     node, rows = np.zeros(len(x), np.int64), np.arange(len(x))

@@ -17,7 +17,7 @@ from timberline.config import Configuration
 from timberline.errors import TreesError
 from timberline.functions.objective import from_margin, into_margin
 from timberline.operators.binning import flat_lists
-from timberline.operators.routing import literal_array, node_of_array
+from timberline.operators.routing import WRITTEN_OUT, leaf_written_out, literal_array, node_of_array
 
 
 @dataclass
@@ -90,9 +90,13 @@ def trees_of(nodes: DataFrame) -> list[Tree]:
     return out
 
 
-def margin_column(trees: list[Tree], features: Column, base: Column | float) -> Column:
-    """base plus each tree's leaf weight, as one expression: a fold over trees around a fold over levels, its size growing with the nodes only as constants."""
+def margin_column(trees: list[Tree], features: Column, base: Column | float, written_out: bool | None = None) -> Column:
+    """base plus each tree's leaf weight, as one expression: few nodes as nested conditions, else a fold over trees around a fold over levels, its size growing with the nodes only as constants."""
     out = base if isinstance(base, Column) else F.lit(float(base))
+    if written_out if written_out is not None else sum(len(t.fids) for t in trees) <= WRITTEN_OUT:
+        for t in sorted(trees, key=lambda t: t.levels):
+            out = out + leaf_written_out(features, t.fids, t.thresholds, t.weights, "float", equal=t.categories)
+        return out
     for levels in sorted({t.levels for t in trees}):
         out = _fold([t for t in trees if t.levels == levels], features, out)
     return out
@@ -129,7 +133,8 @@ def add_margin(df: DataFrame, trees: list[Tree], features: Column, base: float,
 
     With several labels, trees belong to them in turn, and the margin is an array."""
     if by_column if by_column is not None else sum(t.levels for t in trees) <= COLUMN_LEVELS:
-        parts = [margin_column(trees[k::labels], features, base) for k in range(labels)]
+        few = sum(len(t.fids) for t in trees) <= WRITTEN_OUT
+        parts = [margin_column(trees[k::labels], features, base, few) for k in range(labels)]
         return df.withColumn(out, parts[0] if labels == 1 else F.array(*parts))
     # compared in double precision, which holds both 32-bit values and categories; -1 marks places where the threshold decides
     arrays = [(np.array(t.fids, np.int64), np.array([x if c is None else c for x, c in zip(t.thresholds, t.categories or [None] * len(t.fids))]), np.array(t.weights), t.levels, np.array([c is not None for c in t.categories]) if t.categories else None) for t in trees]
@@ -159,4 +164,4 @@ def start_margin(config: Configuration) -> Column:
 
 
 def prediction(config: Configuration, margin: Column) -> Column:
-    return from_margin(config.objective, margin)
+    return from_margin(config.objective, margin, config.tree.labels_count)

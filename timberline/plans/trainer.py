@@ -10,15 +10,17 @@ from timberline.config import HIST, SOFTMAX, Configuration
 from timberline.errors import TreesError
 from timberline.functions.objective import gradients, softmax_gradients
 from timberline.operators.binning import collect_thresholds, encode_bins, hist_thresholds, long_values, sketched_thresholds
-from timberline.operators.routing import literal_array, node_of
+from timberline.operators.routing import WRITTEN_OUT, leaf_written_out, literal_array, node_of
 from timberline.operators.sampling import ColumnSampler
-from timberline.plans.grower import Grown, grow
+from timberline.plans.grower import Grown, grow_together
 from timberline.plans.model import Tree, add_margin, base_margin, dump_json, load_json, prediction, start_margin
 from timberline.sources.matrix import FeatureMatrix
 from timberline.sources.tables import discarded, settled
 
 #: Trees after which the training margin is written out anew, so that plans stay short.
 SETTLE = 8
+#: Labels whose trees are grown in the same passes over the rows.
+TOGETHER = 8
 
 
 class Model:
@@ -80,8 +82,12 @@ class Model:
         many = self._labels > 1
         out = [F.get("margin", F.lit(k)) if many else F.col("margin") for k in range(self._labels)]
         codes, kind = self._codes
+        few = sum(len(g.cuts) for g in self._fresh) <= WRITTEN_OUT
         for k, g in enumerate(self._fresh):
             t = g.tree
+            if few:
+                out[k % self._labels] += leaf_written_out(F.col(codes), t.fids, g.cuts, t.weights, kind, self._first_category)
+                continue
             node = node_of(F.col(codes), t.fids, g.cuts, t.levels, kind, self._first_category)
             out[k % self._labels] += F.get(literal_array(t.weights, "double"), node - len(t.fids))
         return F.array(*out) if many else out[0]
@@ -96,14 +102,16 @@ class Model:
         rows = self._rows.withColumn("margin", self._margin())
         weight = F.col("weight") if self._weighted else None
         if self.config.objective in SOFTMAX:
-            g, h = grad or softmax_gradients(F.col("y").cast("int"), F.col("margin"), weight)
+            g, h = grad or softmax_gradients(F.col("y").cast("int"), F.col("margin"), weight, self._labels)
             each = [(F.get(g, F.lit(k)), F.get(h, F.lit(k))) for k in range(self._labels)]
         else:
             each = [grad or gradients(self.config.objective, F.col("y"), F.col("margin"), weight)]
         new = []
-        for g, h in each:
-            data = rows.select(self._codes[0], g.cast("double").alias("g"), h.cast("double").alias("h"))
-            new.append(grow(data, self.config, self.matrix.width, self._thresholds, self._sampler, categories=self._categories))
+        for k in range(0, len(each), TOGETHER):
+            own = {f"{x}{j}": c.cast("double") for j, pair in enumerate(each[k : k + TOGETHER]) for x, c in zip("gh", pair)}
+            names = list(own)
+            data = rows.select(self._codes[0], *(c.alias(n) for n, c in own.items()))
+            new += grow_together(data, list(zip(names[::2], names[1::2])), self.config, self.matrix.width, self._thresholds, self._sampler, categories=self._categories)
         self._fresh += new
         self.trees += [n.tree for n in new]
         return self.trees[-1]
