@@ -50,3 +50,12 @@ def test_trees_grown_together(spark, three, monkeypatch, cells):
         alone = grower.grow(df.select("bins", F.col(f"g{j}").alias("g"), F.col(f"h{j}").alias("h")), c, 4, cuts, one)
         assert (t.tree.fids, t.cuts) == (alone.tree.fids, alone.cuts) and np.allclose(t.tree.weights, alone.tree.weights, rtol=1e-5)
         assert len(set(t.cuts)) > 2
+
+
+def test_one_pass_a_level(spark, three, monkeypatch):
+    x, kind = three
+    passes = []
+    count = grower.histograms_by_task
+    monkeypatch.setattr(grower, "histograms_by_task", lambda *a: passes.append(a[1]) or count(*a))
+    train({"objective": 3, "tree": {"labels_count": 3, "max_depth": 2, "initial_y": 0.0}, "internals": {"hist_size": 8}}, FeatureMatrix.from_arrays(spark, x, labels=kind), 1).close()
+    assert passes == [0, 1]
