@@ -28,10 +28,15 @@ def exact_dictionary(values: DataFrame) -> DataFrame:
     return u.select("fid", "k", "v").withColumnsRenamed({"k": "bin"})
 
 
+def exact_counts(values: DataFrame) -> DataFrame:
+    """(fid, bin, n): rows of each of exact_dictionary's bins. They were counted with the distinct values, so the values themselves are not joined with their bins (Spark may send one side of a join to the driver)."""
+    return _ranged(values).select("fid", F.col("k").alias("bin"), F.col("c").alias("n"))
+
+
 def _ranged(values: DataFrame) -> DataFrame:
     """Distinct (fid, v, c) with dense rank k, rows below `less`, predecessor p and rows n of the feature.
 
-    Values are dealt to ranges; each range's totals (a row per range and feature) are summed across ranges and joined back, so windows run inside ranges only."""
+    Values are dealt to ranges; each range's totals (a row per range and feature) are summed across ranges and joined back, so windows run inside ranges only. Of that join it is the totals that go through the driver, never the values, whose stored size says little of their number."""
     counts = values.groupBy("fid", "v").agg(F.count("*").alias("c"))
     counts = settled(counts.repartitionByRange(partitions(values.sparkSession), "fid", "v").withColumn("range", F.spark_partition_id()), "ranges")
     totals = counts.groupBy("fid", "range").agg(F.count("*").alias("d"), F.sum("c").alias("rows"), F.max("v").alias("top"))
@@ -45,7 +50,7 @@ def _ranged(values: DataFrame) -> DataFrame:
         F.sum("rows").over(W.partitionBy("fid")).alias("n"),
     )
     inside = W.partitionBy("fid", "range").orderBy("v")
-    u = counts.join(offsets, (counts["fid"] == offsets["f"]) & (counts["range"] == offsets["r"]))
+    u = counts.join(F.broadcast(offsets), (counts["fid"] == offsets["f"]) & (counts["range"] == offsets["r"]))
     return u.select(
         "fid",
         "v",

@@ -18,7 +18,7 @@ from timberline.functions import gain as engine
 from timberline.functions.gain import Penalties
 from timberline.functions.metrics import auc_table, mse, rmse
 from timberline.functions.objective import gradients, logit, sigmoid, softmax, softmax_gradients
-from timberline.operators.binning import bit_width, collect_thresholds, encode_bins, exact_dictionary, hist_thresholds, long_values
+from timberline.operators.binning import bit_width, collect_thresholds, encode_bins, exact_counts, exact_dictionary, hist_thresholds, long_values
 from timberline.operators.histogram import histogram, histogram_by_task, prefixed, root_sums, subtracted
 from timberline.operators.routing import node_of, partition_index, split_bit
 from timberline.operators.sampling import ColumnSampler
@@ -95,9 +95,7 @@ def exact_dict(spark, d):
 
 @query("exact_bins", f"with {o.rows('S')}, {o.long('S')}, r as (select fid, dense_rank() over (partition by fid order by v) - 1 as bin from long_) select fid, bin, count(*) as n from r group by fid, bin")
 def exact_bins(spark, d):
-    values = long_values(matrix(spark, d, "S").design())
-    words = exact_dictionary(values).withColumnsRenamed({"fid": "f", "v": "w"})
-    return values.join(words, (F.col("fid") == F.col("f")) & (F.col("v") == F.col("w"))).groupBy("fid", "bin").agg(F.count("*").alias("n"))
+    return exact_counts(long_values(matrix(spark, d, "S").design()))
 
 
 @query("hist_thresholds", o.start("L") + " select fid, bin, threshold from thr")
